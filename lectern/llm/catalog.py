@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, mixing, quality_rules
+from lectern.llm import byte_bpe, mixing, quality_rules, vector_dedup
 from lectern.llm.common import table
 
 
@@ -22,10 +22,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.ORACLE,
