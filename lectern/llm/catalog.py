@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, mixing, quality_rules, vector_dedup
+from lectern.llm import byte_bpe, license_scan, mixing, quality_rules, vector_dedup
 from lectern.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -27,11 +31,13 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
