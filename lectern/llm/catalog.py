@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, license_scan, mixing, quality_rules, vector_dedup
+from lectern.llm import byte_bpe, chat_format, license_scan, mixing, quality_rules, vector_dedup
 from lectern.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_rows(table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -33,11 +37,13 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
