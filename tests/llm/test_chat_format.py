@@ -28,7 +28,8 @@ def test_rows(spark):
     assert got[3].loss_sha256 == sha("samesame") and got[2].loss_chars == 0
     said = "</s>[INST] ok [/INST]"
     assert got[-1].turns_sha256 == sha(f"user\n{said}\nassistant\n{said}\n") and got[-1].loss_sha256 == sha(said)
-    assert got[-1].formatted_chars == 2 * (len(said) + 3 + 22) + 4 + 9
+    frame, escapes = len(C.TURN + C.TEXT + C.END), 3
+    assert got[-1].formatted_chars == 2 * (len(said) + escapes + frame) + len("user" + "assistant")
 
 
 def test_empty(spark):
