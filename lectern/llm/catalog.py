@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, chat_format, license_scan, mixing, quality_model, quality_rules, toxicity, vector_dedup
+from lectern.llm import byte_bpe, chat_format, license_scan, minhash_dedup, mixing, quality_model, quality_rules, toxicity, vector_dedup
 from lectern.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_rows(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicate_rows(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_rows(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_model": op3_quality_model,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
