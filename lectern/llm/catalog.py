@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, chat_format, license_scan, minhash_dedup, mixing, quality_model, quality_rules, toxicity, vector_dedup
+from lectern.llm import byte_bpe, chat_format, license_scan, minhash_dedup, mixing, quality_model, quality_rules, repeat_removal, toxicity, vector_dedup
 from lectern.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.removal_rows(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_repeat_removal": op9_repeat_removal,
     "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {
