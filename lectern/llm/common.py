@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on machines that hold this package at the driver's path import it.
+
+    Elsewhere the package travels by ``--py-files`` or ``addPyFile`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +37,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterable[tu
     position and returns a tuple for ``schema`` (an iterable of tuples if ``flat``). No batch outlives
     its own output, so memory is bounded by one Arrow batch.
     """
+    importable(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -48,6 +63,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Only where the session leaves that setting unset (tests on one machine) is a folder chosen here.
     """
     sc = df.sparkSession.sparkContext
+    importable(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lectern")
     return df.checkpoint(eager=True)
