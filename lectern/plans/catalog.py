@@ -346,9 +346,10 @@ def debate_fallacies(spark, sf_dir):
     return H.fallacies(debate_turns(spark)).select("transcript_id", F.col("turn_index").cast("long"), "speaker", "fallacy_type", "patterns_matched", "confidence")
 
 
-@query()
+@query(DEBATE_CHAIN + f", f AS ({_fallacy_sql('turns')}) SELECT transcript_id, count(*) AS total_fallacies, round(avg(confidence), 6) AS average_confidence, count(DISTINCT fallacy_type) AS n_types FROM f GROUP BY ALL")
 def fallacy_summary(spark, sf_dir):
-    return H.fallacy_summary(H.fallacies(debate_turns(spark)))
+    rows = H.fallacy_summary(H.fallacies(debate_turns(spark)))
+    return rows.select("transcript_id", "total_fallacies", "average_confidence", F.size("by_type").cast("long").alias("n_types"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS transcript_id, 0 AS turn_index, source AS speaker, text FROM documents) {_fallacy_sql('d')}")
@@ -357,10 +358,26 @@ def document_fallacies(spark, sf_dir):
     return H.fallacies(docs).select("transcript_id", "turn_index", "speaker", "fallacy_type", "patterns_matched", "confidence")
 
 
-@query()
+def _scores_sql() -> str:
+    low = "lower(text)"
+    any_ = lambda ps: f"regexp_matches({low}, '{_ANY(ps)}')"
+    n = lambda ps: "(" + " + ".join(f"regexp_matches({low}, '{_Q(p)}')::INT" for p in ps) + ")"
+    words = lambda ws: [rf"\b{w}\b" for w in ws]
+    causal, strong, compared, times, past = n(words(H.CAUSAL)), n(words(H.STRONG_CAUSAL)), n(H.COMPARATIVE), n(H.TIMES), n(words(H.PAST))
+    factual = f"(0.4::DOUBLE - 0.1::DOUBLE * {n(words(H.UNCERTAIN))} + 0.05::DOUBLE * {n(words(H.CERTAIN))})"
+    capped = lambda c: f"round(least(1.0::DOUBLE, {c}), 6)"
+    number = rf"regexp_matches({low}, '\d+(?:\.\d+)?\s*(?:%|percent|million|billion|thousand)')"
+    return f"""SELECT transcript_id, turn_index, CASE WHEN {number} THEN CASE WHEN {any_(words(H.STATISTICAL))} THEN 0.8 ELSE 0.6 END ELSE 0 END::DOUBLE AS statistical,
+CASE WHEN {causal} + {strong} > 0 THEN {capped(f'0.5::DOUBLE + 0.1::DOUBLE * {causal} + 0.2::DOUBLE * {strong}')} ELSE 0 END AS causal,
+CASE WHEN {compared} > 0 THEN {capped(f'0.5::DOUBLE + 0.15::DOUBLE * {compared}')} ELSE 0 END AS comparative,
+CASE WHEN {times} > 0 OR {past} >= 2 THEN {capped(f'0.4::DOUBLE + 0.2::DOUBLE * {times} + 0.1::DOUBLE * {past}')} ELSE 0 END AS historical,
+CASE WHEN {factual} >= {H.LEAST} THEN {capped(factual)} ELSE 0 END AS factual FROM turns"""
+
+
+@query(CHAIN + _scores_sql())
 def claim_scores(spark, sf_dir):
     turns = conversation_turns(spark, sf_dir)
-    return turns.select("transcript_id", "turn_index", H.claim_scores(F.col("text")).alias("s")).select("transcript_id", "turn_index", "s.*")
+    return turns.select("transcript_id", F.col("turn_index").cast("long"), H.claim_scores(F.col("text")).alias("s")).select("transcript_id", "turn_index", "s.*")
 
 
 @query(r"""WITH l AS (SELECT doc_id AS transcript_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
@@ -371,11 +388,26 @@ def document_lines(spark, sf_dir):
     return rows.groupBy("transcript_id").agg(F.count("*").alias("n_lines"), F.sum((F.col("line") != "").cast("long")).alias("n_full"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-@query()
+_DOC_LINES = rf"""
+WITH lines AS (SELECT doc_id AS transcript_id, {_STRIP('line')} AS line, i FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+facts AS (SELECT transcript_id, bool_or(regexp_matches(line, '{_Q(T.SPEAKER_LINE)}')) AS labelled, count(*) FILTER (WHERE line <> '') AS n, coalesce(sum(length(line)) FILTER (WHERE line <> ''), 0) + greatest(count(*) FILTER (WHERE line <> '') - 1, 0) AS chars FROM lines GROUP BY ALL),
+told AS (SELECT transcript_id, CASE WHEN labelled THEN 'labelled' WHEN (n <= 2 AND chars > {S.CONTINUOUS_CHARS}) OR (n > 0 AND chars / n > {S.CONTINUOUS_LINE}) THEN 'continuous' ELSE 'paragraphs' END AS dialect FROM facts)
+"""
+
+
+@query(_DOC_LINES + "SELECT dialect, count(*) AS n FROM told GROUP BY ALL")
 def document_dialects(spark, sf_dir):
     return S.dialect(document_texts(spark, sf_dir)).groupBy("dialect").agg(F.count("*").alias("n"))
 
 
+@query(_DOC_LINES + rf""", flagged AS (SELECT *, sum((line = '')::INT) OVER (PARTITION BY transcript_id ORDER BY i) AS paragraph, coalesce(max(CASE WHEN line = '' THEN i END) OVER (PARTITION BY transcript_id ORDER BY i), 0) + 1 AS first FROM lines),
+joined AS (SELECT transcript_id, min(first)::INT AS line_number, string_agg(line, ' ' ORDER BY i) AS t FROM flagged WHERE line <> '' AND NOT starts_with(line, '#') GROUP BY transcript_id, paragraph),
+clean AS (SELECT transcript_id, line_number, {_STRIP(r"regexp_replace(regexp_replace(regexp_replace(t, '\b\d{1,2}:\d{2}:\d{2}(?:\.\d+)?\b', ' ', 'g'), '\s*[\[(][^\]\)]*[\])]', ' ', 'g'), '\s{2,}', ' ', 'g')".replace(chr(92) * 2, chr(92)))} AS text FROM joined)
+SELECT transcript_id, line_number, text FROM clean WHERE text <> ''""")
+def document_paragraphs(spark, sf_dir):
+    return S.paragraph_utterances(document_texts(spark, sf_dir)).select("transcript_id", "line_number", "text")
+
+
 @query()
 def document_utterances(spark, sf_dir):
     return S.utterances(document_texts(spark, sf_dir)).select("transcript_id", "utterance_index", "line_number", "speaker", F.length("text").alias("n_chars"))
@@ -386,10 +418,10 @@ def continuous_turns(spark, sf_dir):
     return S.detected_turns(document_texts(spark, sf_dir)).select("transcript_id", "turn_index", "speaker", F.size("sentences").alias("n_sentences"), "start", "end", "confidence")
 
 
-@query()
+@query(CHAIN + "SELECT transcript_id, turn_index, speaker, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM turns")
 def labelled_round_trip(spark, sf_dir):
     turns = conversation_turns(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\s+", " "))
-    return S.from_transcripts(D.labelled_text(turns)).select("transcript_id", "turn_index", "speaker", "text")
+    return S.from_transcripts(D.labelled_text(turns)).select("transcript_id", F.col("turn_index").cast("long"), "speaker", "text")
 
 
 NAMES = ["Senator Smith", "SPEAKER A", "Candidate B", "Dr. Jane Roe", "MR", "  ", "Smith Smith", "Governor", "Mr. Smith", "participant 7 x", "JONES"]
@@ -412,7 +444,10 @@ def srt_times(spark, sf_dir):
     return rows.select("event_id", T.srt_time(F.col("event_id") * 7919).alias("srt"))
 
 
-@query()
+_SRT = lambda c: f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"
+
+
+@query(CHAIN + f"SELECT transcript_id, string_agg((turn_index + 1) || chr(10) || {_SRT('(s * 50)')} || ' --> ' || {_SRT('(e * 50)')} || chr(10) || '[' || speaker || '] ' || text || chr(10), chr(10) ORDER BY turn_index) AS srt FROM turns GROUP BY ALL")
 def subtitles(spark, sf_dir):
     turns = conversation_turns(spark, sf_dir)
     return D.subtitles(turns.select("transcript_id", "turn_index", "speaker", "text", (F.col("span.start") * 50).alias("start_ms"), (F.col("span.end") * 50).alias("end_ms")))
@@ -453,7 +488,10 @@ def input_guards(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.long_enough(F.col("text")).alias("long_enough"))
 
 
-@query()
+@query(_DOC_LINES + r""", full_lines AS (SELECT transcript_id, line, row_number() OVER (PARTITION BY transcript_id ORDER BY i) AS k FROM lines WHERE line <> ''),
+tops AS (SELECT transcript_id, count(*) AS n, count(*) FILTER (WHERE k <= 10) AS top, count(*) FILTER (WHERE k <= 10 AND contains(line, ':') AND (starts_with(line, '[') OR starts_with(line, '(')
+  OR (split_part(line, ':', 1) = upper(split_part(line, ':', 1)) AND split_part(line, ':', 1) <> lower(split_part(line, ':', 1))))) AS labels FROM full_lines GROUP BY ALL)
+SELECT doc_id, length(text) > 2000 OR coalesce(n, 0) <= 2 OR labels < 0.3 * top AS continuous FROM documents LEFT JOIN tops ON transcript_id = doc_id""")
 def turn_detection_guard(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", S.needs_turn_detection(F.col("text")).alias("continuous"))
 
