@@ -1,8 +1,10 @@
 """Connected components by alternating large and small stars.
 
 Edges are first contracted to forests within each partition, then stars alternate until the edge set
-no longer changes, a number of rounds that grows with the logarithm of the number of nodes. Every
-round's edges are written to the checkpoint folder. Nothing is collected but two sums a round.
+no longer changes, a number of rounds that grows with the logarithm of the number of nodes. Once no
+more than ``LOCAL_EDGES`` are left, a fixed number, one task contracts the rest, which saves the last
+rounds' shuffles. Every round's edges are written to the checkpoint folder. Nothing is collected but
+two sums a round.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from lectern.llm.common import checkpointed
 
 #: Nodes that a task's forest holds before it is handed on and started anew.
 FOREST_NODES = 400_000
+#: Edges that a single task may finish, whatever the input; they have twice as many nodes at most.
+LOCAL_EDGES = 150_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +68,7 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)`` that isn't its component's least node.
 
     ``u`` and ``v`` have one orderable type without nulls; order, direction, repeats and loops don't matter.
@@ -73,6 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(schema.mapInArrow(_forest, schema.schema))
     before = _sums(edges)
     while before[0]:
+        if before[0] <= min(local, FOREST_NODES // 2):
+            edges = checkpointed(edges.coalesce(1).mapInArrow(_forest, schema.schema))
+            break
         edges = checkpointed(_star(edges))
         now = _sums(edges)
         if now == before:

@@ -1,5 +1,5 @@
 import numpy as np
-import pyarrow.parquet as pq
+import pytest
 
 from lectern.llm import vector_dedup
 from lectern.llm.components import components
@@ -70,7 +70,8 @@ def test_empty(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("local", [0, 40, 1000])
+def test_components_of_paths_and_stars(spark, local):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 301), (301, 300)]
-    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), local).collect()}
     assert roots == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 140)}, 301: 300}
