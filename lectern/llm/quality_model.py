@@ -16,9 +16,10 @@ score; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from functools import lru_cache
+from collections import Counter
 from itertools import count
 
 import numpy as np
@@ -30,42 +31,71 @@ from lectern.llm.common import WORD, map_rows, text_of
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = ("length", "symbols", "stutter", "case", "variety", "endings", "word_length", "letters", "tails", "bare")
 BUCKETS, SAMPLE, KEEP = 1 << 12, 2_000, 0.5
-_SYMBOL = re.compile(r"[#*$%&|<>{}\\~^_=+]")
+_SYMBOLS = frozenset(r"#*$%&|<>{}\~^_=+")
 _LETTER = re.compile(r"[^\W\d_]")
-_TAIL = re.compile(r"[^\w\s]{2}(?:\s|$)")
+_TAIL = re.compile(r"[^\w\s]{2}$")
 _END = re.compile(r"[.!?…:;\"')\]»”]\s*$")
+_WORDS = re.compile(WORD).findall
+#: Words whose facts a worker remembers; beyond that it forgets all and starts again.
+REMEMBERED = 300_000
 
 
-def votes(text: str | None) -> tuple[int, ...]:
-    """One vote per labeller. Each rule looks at its own evidence; thresholds leave room to abstain."""
-    text = text or ""
-    words = re.findall(WORD, text)
-    n = len(words)
-    if not n:
-        return (NONE,) * len(LABELLERS)
+class Words(dict):
+    """Facts of words by ``make``, made once each."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = got = self._make(word)
+        return got
+
+
+def _kind(word: str) -> int:
+    """1: without a letter; 2: ends in two signs; 3: both."""
+    return (not _LETTER.search(word)) + 2 * bool(_TAIL.search(word))
+
+
+def voter():
+    """The labellers, as a function of a text and its words. Each rule looks at its own evidence and may abstain."""
+    kinds = Words(_kind)
     three = lambda bad, good: BAD if bad else GOOD if good else NONE
-    symbols = len(_SYMBOL.findall(text))
-    stutter = sum(map(str.__eq__, words, words[1:]))
-    letters = _LETTER.findall(text)
-    upper = sum(map(str.isupper, letters))
-    distinct = len(set(words))
-    lines = [x for x in text.split("\n") if x.strip()]
-    ended = sum(1 for x in lines if _END.search(x))
-    chars = sum(map(len, words))
-    tails = len(_TAIL.findall(text))
-    bare = n - sum(1 for w in words if _LETTER.search(w))
-    return (
-        three(False, n >= 20),
-        three(symbols > 0.15 * n, symbols <= 0.02 * n),
-        three(stutter > 0.2 * n, stutter <= 0.02 * n),
-        three(upper > 0.5 * len(letters) and n > 3, upper < 0.2 * len(letters)),
-        three(n >= 50 and distinct < 0.2 * n, distinct > 0.4 * n or n < 50),
-        three(n >= 20 and not ended, ended >= 0.5 * len(lines)),
-        three(chars > 14 * n, 2 * n <= chars <= 10 * n),
-        three(len(letters) < 0.7 * chars, len(letters) > 0.85 * chars),
-        three(tails > 0.15 * n, tails <= 0.03 * n),
-        three(bare > 0.15 * n, bare <= 0.05 * n),
-    )
+
+    def votes(text: str, words: list[str]) -> tuple[int, ...]:
+        n = len(words)
+        if not n:
+            return (NONE,) * len(LABELLERS)
+        letters = upper = symbols = 0
+        for c, k in Counter(text).items():
+            if c.isalpha():
+                letters += k
+                upper += k if c.isupper() else 0
+            elif c in _SYMBOLS:
+                symbols += k
+        stutter = sum(map(str.__eq__, words, words[1:]))
+        distinct = len(set(words))
+        lines = [x for x in text.split("\n") if x.strip()]
+        ended = sum(1 for x in lines if _END.search(x[-40:]))
+        chars = sum(map(len, words))
+        found = Counter(map(kinds.__getitem__, words))
+        bare, tails = found[1] + found[3], found[2] + found[3]
+        return (
+            three(False, n >= 20),
+            three(symbols > 0.15 * n, symbols <= 0.02 * n),
+            three(stutter > 0.2 * n, stutter <= 0.02 * n),
+            three(upper > 0.5 * letters and n > 3, upper < 0.2 * letters),
+            three(n >= 50 and distinct < 0.2 * n, distinct > 0.4 * n or n < 50),
+            three(n >= 20 and not ended, ended >= 0.5 * len(lines)),
+            three(chars > 14 * n, 2 * n <= chars <= 10 * n),
+            three(letters < 0.7 * chars, letters > 0.85 * chars),
+            three(tails > 0.15 * n, tails <= 0.03 * n),
+            three(bare > 0.15 * n, bare <= 0.05 * n),
+        )
+
+    return votes
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
@@ -93,11 +123,17 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) % BUCKETS
 
 
-@lru_cache(200_000)
+def shape(word: str) -> str:
+    """Classes of a word's characters, runs shortened, of its first characters."""
+    if word.isalpha() and (word.islower() or word[1:].islower() and word[0].isupper()):
+        tail = len(word) - (not word.islower())
+        return ("" if word.islower() else "A") + ("a+" if tail > 1 else "a")
+    return re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:12]
+
+
 def features(word: str) -> tuple[int, int]:
-    """Buckets of a word and of its shape (classes of characters, runs shortened)."""
-    shape = re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
-    return _hash("w" + word.lower()), _hash("s" + shape[:12])
+    """Buckets of a word and of its shape."""
+    return _hash("w" + word.lower()), _hash("s" + shape(word))
 
 
 REPEAT, AGAIN = _hash("next word is the same"), _hash("word seen before")
@@ -105,7 +141,7 @@ REPEAT, AGAIN = _hash("next word is the same"), _hash("word seen before")
 
 def vector(text: str | None) -> dict[int, float]:
     """Bucket shares of a whole text."""
-    words = re.findall(WORD, text or "")
+    words = _WORDS(text or "")
     out: dict[int, float] = {}
     for w in words:
         for b in features(w):
@@ -138,7 +174,12 @@ def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """(doc_id, code): the vote pattern of every row, as a number."""
     kind = dict(docs.dtypes)[id_column]
     source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column))
-    return map_rows(source, lambda: lambda key, text: (key, vote_code(votes(text))), f"doc_id {kind}, code int")
+
+    def make():
+        votes = voter()
+        return lambda key, text: (key, vote_code(votes(text, _WORDS(text))))
+
+    return map_rows(source, make, f"doc_id {kind}, code int")
 
 
 class Model:
@@ -154,22 +195,13 @@ class Model:
         return dict(zip(LABELLERS, right / (right + wrong)))
 
     def scorer(self):
-        weights, bias = self.weights, self.bias
-        known: dict[str, float] = {}
-        find = re.compile(WORD).findall
-
-        def score(text: str) -> float:
-            words = find(text)
-            if len(known) > 300_000:
-                known.clear()
-            total = 0.0
-            for w in words:
-                if (s := known.get(w)) is None:
-                    a, b = features(w)
-                    known[w] = s = float(weights[a] + weights[b])
-                total += s
-            total += weights[REPEAT] * sum(map(str.__eq__, words, words[1:])) + weights[AGAIN] * (len(words) - len(set(words)))
-            return float(1 / (1 + np.exp(-np.clip(total / max(1, len(words)) + bias, -30, 30))))
+        """The score of a list of words."""
+        weights, bias = self.weights.tolist(), self.bias
+        known = Words(lambda w: sum(weights[b] for b in features(w)))
+
+        def score(words: list[str]) -> float:
+            total = sum(map(known.__getitem__, words)) + weights[REPEAT] * sum(map(str.__eq__, words, words[1:])) + weights[AGAIN] * (len(words) - len(set(words)))
+            return 1 / (1 + math.exp(-min(30.0, max(-30.0, total / max(1, len(words)) + bias))))
 
         return score
 
@@ -192,8 +224,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text
         inside = (F.shiftrightunsigned("h", 1) < int(part * (2**63 - 1))) if part < 1 else F.lit(True)
 
         def make():
+            votes = voter()
+
             def row(h, text):
-                code = vote_code(votes(text))
+                code = vote_code(votes(text, _WORDS(text)))
                 if (posterior[code] >= 0.5) != is_good:
                     return ()
                 v = vector(text)
@@ -220,11 +254,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column))
 
     def make():
-        one, posterior = model.scorer(), model.posterior
+        one, votes, posterior = model.scorer(), voter(), model.posterior
 
         def row(key, text):
-            s = one(text)
-            return key, s, posterior.get(vote_code(votes(text))), s >= KEEP
+            words = _WORDS(text)
+            s = one(words)
+            return key, s, posterior.get(vote_code(votes(text, words))), s >= KEEP
 
         return row
 
