@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: rows hold whole texts.
+BATCH_ROWS, BATCH_KEY, DEFAULT_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on machines that hold this package at the driver's path import it.
+    """Let Python workers on machines that hold this package at the driver's path import it; keep batches small.
 
     Elsewhere the package travels by ``--py-files`` or ``addPyFile`` as usual.
     """
+    if spark.conf.get(BATCH_KEY, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit word hashes, remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         self._known, self._bound = {}, bound
 
     def __call__(self, words: Sequence[str]) -> np.ndarray:

@@ -34,8 +34,8 @@ from lectern.llm.common import checkpointed, map_rows, text_of
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
-#: Bytes of text that a task hashes at a time, and of stretches that it compares at a time.
-SLAB = 4 << 20
+#: Bytes of text that a task hashes at a time, and of stretches that it compares at a time; a dozen arrays of eight bytes each go with a byte.
+SLAB = 1 << 20
 #: Stretches of one gram that may meet in one task: at least this, or twice the mean partition.
 MEET = 256
 _U = np.uint64
