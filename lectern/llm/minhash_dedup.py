@@ -3,15 +3,18 @@
 A text's k-mers are its runs of five lower-cased words, each labelled with its occurrence number. For
 each of ``BANDS`` hash functions the ``ELL`` least labelled k-mers are taken and put back into text
 order; their hash is the text's bucket, so a bucket is shared by texts that agree in content and order.
-Within a bucket, texts are sorted by the sequence of their next minima, and neighbours become
-candidates: texts that are much alike have long common sequences and lie side by side, also in a
-bucket that a frequent passage has made large. The sort is a range partition over all buckets at once
-(a bucket may span partitions; their ends are joined up), so each text has two candidates a band at
-most, however large its bucket, and none is dropped.
+Within a bucket, texts are sorted by the sequence of their next minima, and neighbours become the first
+candidates: texts that are much alike have long common sequences and mostly lie side by side. The sort
+is a range partition over all buckets at once (a bucket may span partitions; their ends are joined up).
+Then every other pair of a bucket is met, unless links have already connected it: buckets are split by
+length, large ones into blocks that meet each other in tasks of their own, and a pair is passed over
+only where lengths or word counts by hash rule out the similarity. No pair of a bucket is dropped,
+however large the bucket; what is left of a bucket's pairs after lengths grows with its square.
 
 Candidates are verified by a banded, bit-parallel alignment over words: a link needs an edit
-similarity, 1 - distance / length of the longer text, of ``SIMILARITY``. Bands run in two rounds; pairs
-that the first has already connected aren't verified again. Classes are the components of links.
+similarity, 1 - distance / length of the longer text, of ``SIMILARITY``. Verification runs in rounds;
+pairs that an earlier one has already connected aren't verified again. Classes are the components of
+links.
 
 A pair whose labelled k-mers have a Jaccard similarity of s shares a bucket in a band with probability
 near s ** ELL: missed by all 16 bands in 1 of 10 million pairs at 0.8.
@@ -28,7 +31,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ from lectern.llm.common import WORD, checkpointed, map_rows, text_of
 from lectern.llm.components import components
 
 K, ELL, BANDS, DEPTH, SIMILARITY = 5, 2, 16, 6, 0.8
-#: Bands of each verification round.
+#: Bands of each verification round of neighbours.
 ROUNDS = ((0, 1), tuple(range(2, BANDS)))
+#: Texts of a block where a bucket's pairs are met, about, and counters of words by hash.
+BLOCK, BINS = 1_024, 256
 _FIND = re.compile(WORD).findall
 _ODD = np.array([int.from_bytes(hashlib.blake2b(f"band {i}".encode(), digest_size=8).digest()) | 1 for i in range(BANDS)], np.uint64)[:, None]
 _U = np.uint64
@@ -173,17 +177,102 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([(part, 1, *first, None), (part, 2, *last, None)])
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """(band, a, b) with a < b: neighbours within the buckets of ``sketches(band, bucket, deep, cls)``."""
+def neighbours(sketches: DataFrame) -> DataFrame:
+    """(band, bucket, a, b): neighbours within the buckets of ``sketches(band, bucket, deep, cls)``."""
     n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = sketches.repartitionByRange(n, "band", "bucket", "deep", "cls").sortWithinPartitions("band", "bucket", "deep", "cls")
     met = checkpointed(dealt.mapInArrow(_neighbours, "part int, end int, band int, bucket long, a string, b string"))
     # Two rows a partition: where a bucket goes on in the next partition, its last text meets the first there.
     order = Window.orderBy("part", "end")
     ends = met.filter("end > 0").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("end", "band", "bucket", "a")))
-    seam = ends.filter("end = 2 and next_end = 1 and band = next_band and bucket = next_bucket and a <> next_a").select("band", "a", F.col("next_a").alias("b"))
-    pairs = met.filter("end = 0").select("band", "a", "b").unionByName(seam)
-    return pairs.select("band", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.min("band").alias("band"))
+    seam = ends.filter("end = 2 and next_end = 1 and band = next_band and bucket = next_bucket and a <> next_a").select("band", "bucket", "a", F.col("next_a").alias("b"))
+    return met.filter("end = 0").select("band", "bucket", "a", "b").unionByName(seam)
+
+
+def candidates(near: DataFrame) -> DataFrame:
+    """(band, a, b) with a < b, once a pair, of the neighbours."""
+    return near.select("band", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.min("band").alias("band"))
+
+
+def word_counts(h: np.ndarray) -> np.ndarray:
+    return np.minimum(np.bincount((h % _U(BINS)).astype(np.int64), minlength=BINS), 0xFFFF).astype("<u2")
+
+
+def possible(n: np.ndarray, counts: np.ndarray, root: np.ndarray, home: np.ndarray, block: np.ndarray, two: bool, similarity: float = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j < i) of rows sorted by length that may be alike: a text's words beyond the shorter one's are edits.
+
+    Left out are pairs of one root, pairs away from home (met elsewhere) and, between ``two`` blocks,
+    pairs within one. Counters that end at their limit understate differences, never the reverse.
+    """
+    band = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    first = np.searchsorted(n, n - band)
+    for i in range(len(n)):
+        at = slice(first[i], i)
+        met = (root[at] != root[i]) & (home[at] | home[i])
+        if two:
+            met &= block[at] != block[i]
+        j = first[i] + np.flatnonzero(met)
+        if len(j):
+            low = counts[j]
+            j = j[(np.maximum(low, counts[i]) - low).sum(1, dtype=np.int64) <= band[i]]
+            if len(j):
+                yield i, j
+
+
+def bucket_pairs(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b, root_a, root_b) with a < b: all pairs of the neighbours' buckets that may be alike and have two roots.
+
+    Lengths that differ by a stratum or more are never alike: a text is at home in its stratum and a
+    guest in the next. Each stratum's texts are dealt into blocks by hash; two blocks meet in one group.
+    """
+    crowded = near.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket")  # else two texts, neighbours
+    texts_of = near.join(crowded, ["band", "bucket"], "left_semi").select("band", "bucket", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    facts = texts.select("cls", "n", F.floor(F.log("n") / F.log(F.lit(1.05 / similarity))).cast("int").alias("own"))
+    placed = texts_of.join(facts, "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = checkpointed(placed.withColumn("stratum", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("stratum")))
+    cell = ["band", "bucket", "stratum"]
+    cells = placed.groupBy(cell).agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"))
+    cells = cells.filter("low < high and any").select(*cell, F.ceil(F.col("m") / block).alias("parts"))
+    dealt = placed.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("cls"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.join(texts.select("cls", "counts"), "cls").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    group = [*cell, "p", "q"]
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "n", "cls").select(*group, "block", "cls", "root", "home", "n", "counts")
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple]:
+        blocks, cls, root, home, n, counts = zip(*(r[5:] for r in rows))
+        number = {r: i for i, r in enumerate(dict.fromkeys(root))}
+        if len(number) > 1:
+            table = np.frombuffer(b"".join(counts), "<u2").reshape(-1, BINS)
+            for i, js in possible(np.array(n), table, np.array([number[r] for r in root]), np.array(home), np.array(blocks), rows[0][3] != rows[0][4], similarity):
+                for j in js:
+                    yield (cls[i], cls[j], root[i], root[j]) if cls[i] < cls[j] else (cls[j], cls[i], root[j], root[i])
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["a", "b", "root_a", "root_b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found = [], []
+
+        def stream():
+            for b in batches:
+                yield from zip(*(c.to_pylist() for c in b.columns))
+            yield None
+
+        for r in stream():
+            if rows and (r is None or r[:5] != rows[0][:5]):
+                for pair in pairs(rows):
+                    found.append(pair)
+                    if len(found) >= 10_000:
+                        yield out(found)
+                        found = []
+                rows = []
+            if r is not None:
+                rows.append(r)
+        if found:
+            yield out(found)
+
+    return dealt.mapInArrow(meet, "a string, b string, root_a string, root_b string").dropDuplicates(["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,27 +301,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "d
     folded = checkpointed(made.groupBy("cls").agg(F.min("key").alias("least"), F.first("bands").alias("bands")))
     rows = folded.select("cls", F.inline("bands"))
     # A bucket of one text has no neighbour; nothing else is left out.
-    pairs = checkpointed(candidates(rows))
+    near = neighbours(rows)
+    pairs = checkpointed(candidates(near))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
 
     def word_hashes():
         hasher = Hasher()
-        return lambda cls, text: (cls, hasher(_FIND(text.lower())).astype("<u4").tobytes())
+
+        def row(cls, text):
+            h = hasher(_FIND(text.lower()))
+            return cls, len(h), word_counts(h).tobytes(), h.astype("<u4").tobytes()
+
+        return row
 
     # One copy of each text that has a candidate, as 32-bit word hashes.
     chosen = folded.join(wanted, "cls").select(F.col("cls").alias("_c"), F.col("least").alias("_k"))
     one = source.join(chosen, (F.col("cls") == F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")), "left_semi")
-    texts = checkpointed(map_rows(one.select("cls", "text"), word_hashes, "cls string, h binary").groupBy("cls").agg(F.first("h").alias("h")))
-    links, roots = None, None
-    for bands in ROUNDS:
-        todo = pairs.filter(F.col("band").isin(*bands))
+    texts = checkpointed(map_rows(one.select("cls", "text"), word_hashes, "cls string, n int, counts binary, h binary").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "counts", "h"))))
+    roots = None
+
+    def linked(todo: DataFrame) -> DataFrame:
+        """Classes after the links of ``todo`` that aren't known yet."""
         if roots is not None:
             root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
             todo = todo.join(root("a"), "a", "left").join(root("b"), "b", "left")
             todo = todo.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        found = checkpointed(verified(todo, texts, similarity))
-        links = found if links is None else reduce(DataFrame.unionByName, [found, roots.select(F.col("node").alias("u"), F.col("root").alias("v"))])
-        roots = components(links)
+        links = checkpointed(verified(todo, texts, similarity))
+        return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
+    for bands in ROUNDS:
+        roots = linked(pairs.filter(F.col("band").isin(*bands)))
+    # All other pairs of the buckets: one of each two classes first, the rest where that hasn't joined them.
+    rest = checkpointed(bucket_pairs(near, texts, roots, similarity).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    sides = F.struct(F.least("root_a", "root_b"), F.greatest("root_a", "root_b"))
+    first = rest.groupBy(sides.alias("sides")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
+    roots = linked(first)
+    roots = linked(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
     placed = folded.select("cls", "least").join(roots, folded["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "cls"))["cls"].alias("class_cls"))
     return keys, placed.join(named, "root").select("cls", "class_cls", "class_id")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -79,5 +80,34 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept) and kept.columns == df.columns
 
 
+def shared_passages(n=120, copies=40):
+    """Texts of the same six passages in different orders, with near copies of some: all k-mers but a few are shared."""
+    rng = random.Random(7)
+    passages = [[f"p{i}w{j}" for j in range(40)] for i in range(6)]
+    texts = [sum(order, []) for order in rng.sample(list(itertools.permutations(passages)), n)]
+    return [" ".join(t) for t in texts] + [" ".join(edited(rng, t, 2)) for t in texts[:copies]]
+
+
+def test_near_copies_in_crowded_buckets(spark):
+    n, copies = 120, 40
+    texts = shared_passages(n, copies)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in M.near_duplicate_rows(docs).collect()}
+    assert got == {i: i if i < n else i - n for i in range(n + copies)}
+
+
+def test_blocks_meet_all_pairs(spark):
+    rng = random.Random(3)
+    words = [rng.choices(range(30), k=rng.randrange(4, 60)) for _ in range(60)]
+    words += [edited(rng, w, rng.randrange(1, 4)) for w in words]
+    hashes = [M.Hasher()([str(x) for x in w]) for w in words]
+    texts = spark.createDataFrame([(f"{i:03}", len(h), M.word_counts(h).tobytes()) for i, h in enumerate(hashes)], "cls string, n int, counts binary")
+    near = spark.createDataFrame([(0, 5, f"{i:03}", f"{i + 1:03}") for i in range(len(words) - 1)], "band int, bucket long, a string, b string")
+    roots = spark.createDataFrame([("061", "001")], "node string, root string")
+    true = {(f"{i:03}", f"{j:03}") for j in range(len(words)) for i in range(j) if M.alike(list(hashes[i]), list(hashes[j]))} - {("001", "061")}
+    found = [{(r.a, r.b) for r in M.bucket_pairs(near, texts, roots, block=size).collect()} for size in (7, 1000)]
+    assert found[0] == found[1] and true <= found[0] and len(true) > 40
+
+
 def test_empty(spark):
     assert M.near_duplicate_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
