@@ -294,6 +294,18 @@ def debate_turns(spark: SparkSession) -> DataFrame:
     return S.with_spans(rows)
 
 
+def _checked(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    rows = inline(spark, RESPONSES, "key string, key_order int, status string, confidence double, source string")
+    none = F.array().cast("array<string>")
+    checked = K.fact_checks(C.claims(turns), rows.withColumn("sources", none).withColumn("urls", none), budget=3)
+    return checked.select("transcript_id", "claim_id", "status", "confidence", "summary")
+
+
+def _answered(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    answers = inline(spark, ANSWERS, "text string, claim_type string, confidence double, reasoning string")
+    return C.with_answers(C.claims(turns), answers).select("transcript_id", "claim_id", "claim_type", "confidence")
+
+
 @query(DEBATE_CHAIN + "SELECT transcript_id, turn_index, text, s AS start, e AS \"end\", k.t AS claim_type, k.c::DOUBLE AS confidence FROM claims")
 def debate_claims(spark, sf_dir):
     return C.claims(debate_turns(spark)).select("transcript_id", F.col("turn_index").cast("long"), "text", "span.start", "span.end", "claim_type", "confidence")
@@ -315,17 +327,23 @@ def debate_resolutions(spark, sf_dir):
 met AS (SELECT claim_id, c.transcript_id, arg_min({{'s': lower(v.status), 'c': v.confidence, 'o': v.source}}, v.key_order) AS r FROM ranked_claims c JOIN {sql_values(RESPONSES, 'key, key_order, status, confidence, source')} ON contains(lower(c.text), lower(v.key)) WHERE place <= 3 GROUP BY ALL)
 SELECT c.transcript_id, c.claim_id, CASE WHEN r.s IN ('verified', 'unverified', 'disputed', 'false', 'no_data') THEN r.s ELSE 'no_data' END AS status, coalesce(r.c, 0)::DOUBLE AS confidence, r.o AS summary FROM ranked_claims c LEFT JOIN met USING (transcript_id, claim_id) WHERE place <= 3""")
 def fact_checks(spark, sf_dir):
-    rows = inline(spark, RESPONSES, "key string, key_order int, status string, confidence double, source string")
-    none = F.array().cast("array<string>")
-    checked = K.fact_checks(C.claims(debate_turns(spark)), rows.withColumn("sources", none).withColumn("urls", none), budget=3)
-    return checked.select("transcript_id", "claim_id", "status", "confidence", "summary")
+    return _checked(spark, debate_turns(spark))
+
+
+@query(ORACLES["fact_checks"].replace(DEBATE_CHAIN, CHAIN))
+def conversation_fact_checks(spark, sf_dir):
+    return _checked(spark, conversation_turns(spark, sf_dir))
 
 
 @query(DEBATE_CHAIN + f"""SELECT transcript_id, claim_id, CASE WHEN lower(v.claim_type) IN ({', '.join(f"'{t}'" for t in C.CLAIM_TYPES)}) THEN lower(v.claim_type) ELSE k.t END AS claim_type,
 CASE WHEN lower(v.claim_type) IN ({', '.join(f"'{t}'" for t in C.CLAIM_TYPES)}) THEN coalesce(v.confidence, 0.85) ELSE k.c END::DOUBLE AS confidence FROM claims LEFT JOIN {sql_values(ANSWERS, 'answer, claim_type, confidence, reasoning')} ON v.answer = claims.text""")
 def classifier_answers(spark, sf_dir):
-    answers = inline(spark, ANSWERS, "text string, claim_type string, confidence double, reasoning string")
-    return C.with_answers(C.claims(debate_turns(spark)), answers).select("transcript_id", "claim_id", "claim_type", "confidence")
+    return _answered(spark, debate_turns(spark))
+
+
+@query(ORACLES["classifier_answers"].replace(DEBATE_CHAIN, CHAIN))
+def conversation_classifier_answers(spark, sf_dir):
+    return _answered(spark, conversation_turns(spark, sf_dir))
 
 
 def _fallacy_sql(source: str) -> str:
