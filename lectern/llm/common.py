@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the size and quality contracts: runs without ASCII white space.
@@ -66,14 +66,52 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterable[tu
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session leaves that setting unset (tests on one machine) is a folder chosen here.
+    A session on one machine that leaves the setting unset (tests) gets a local folder; on a cluster a
+    local folder would go with its executor, so there the setting is required. Files stay until the
+    folder is emptied or, with ``spark.cleaner.referenceTracking.cleanCheckpoints``, until the table is
+    no longer referenced.
     """
     sc = df.sparkSession.sparkContext
     importable(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lectern")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/lectern")
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it holds more than one in ``SHARE`` of all rows: fewer than ``SHARE`` keys ever are.
+SHARE = 256
+
+
+def hot_keys(counted: DataFrame, key: str, n: str = "n") -> list:
+    """The hot keys of ``counted(key, n)``, one row a key, for the driver: fewer than ``SHARE`` values."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counted.filter((F.col(n) > 1) & (F.col(n) * SHARE > total)).select(key).collect()]
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: str | list[str], hot: list, how: str = "inner") -> DataFrame:
+    """``many.join(one, keys)`` with the rows of hot values of the first key dealt over all partitions.
+
+    Each hot row of ``many`` gets a salt from its other columns; the rows of ``one`` with a hot key, which
+    hold each key once or a few times, are repeated for every salt.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    if not hot:
+        return many.join(one, keys, how)
+    pieces = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(keys[0]).isin(hot)
+    own = F.pmod(F.xxhash64(F.lit("salt"), *(F.col(c) for c in many.columns if c not in keys)), F.lit(pieces)).cast("int")
+    left = many.withColumn("_salt", F.when(is_hot, own).otherwise(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")
+
+
+def row_key(*columns: Column) -> Column:
+    """128 bits of the columns' values as text: enough for any number of rows."""
+    return F.concat_ws("-", F.hex(F.xxhash64(F.lit(0), *columns)), F.hex(F.xxhash64(F.lit(1), *columns)))
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,10 +1,10 @@
 """Connected components by alternating large and small stars.
 
-Edges are first contracted to forests within each partition, then stars alternate until the edge set
-no longer changes, a number of rounds that grows with the logarithm of the number of nodes. Once no
-more than ``LOCAL_EDGES`` are left, a fixed number, one task contracts the rest, which saves the last
-rounds' shuffles. Every round's edges are written to the checkpoint folder. Nothing is collected but
-two sums a round.
+Edges are contracted to forests within each partition before every shuffle, then stars alternate until
+the edges are stars, a number of rounds that grows with the logarithm of the number of nodes. There is
+one path at every size. Every round's edges are written to the checkpoint folder. Nothing is collected
+but a flag a round and the hubs: nodes with more than one in ``SHARE`` of all edges, fewer than twice
+``SHARE`` however large the graph; what they point to is mapped without moving their edges.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import SHARE, checkpointed
 
 #: Nodes that a task's forest holds before it is handed on and started anew.
 FOREST_NODES = 400_000
-#: Edges that a single task may finish, whatever the input; they have twice as many nodes at most.
-LOCAL_EDGES = 150_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,34 +53,48 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def _sums(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def contracted(edges: DataFrame) -> DataFrame:
+    """A forest of each partition's edges, as (node, least node of its tree); no shuffle."""
+    return edges.mapInArrow(_forest, edges.schema)
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _raised(edges: DataFrame, least: DataFrame, hubs: dict) -> DataFrame:
+    """Edges (u, v) as (u, the least node that v knows); edges of hubs stay where they are."""
+    if not hubs:
+        return edges.join(least.select(F.col("x").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+    hub, kind = F.col("v").isin(list(hubs)), edges.schema["v"].dataType
+    cold = edges.filter(~hub).join(least.select(F.col("x").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
+    places = F.create_map(*(F.lit(x).cast(kind) for pair in hubs.items() for x in pair))
+    return cold.unionByName(edges.filter(hub).select("u", places[F.col("v")].alias("v")))
 
 
-def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+def _star(edges: DataFrame) -> DataFrame:
+    """One large and one small star of edges (u, v) with u > v."""
+    ends = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
+    least = checkpointed(ends.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n"))
+    many = 2 * max(edges.count(), SHARE)
+    hubs = {r.x: r.m for r in least.filter(F.col("n") * SHARE > many).select("x", "m").collect()}
+    large = checkpointed(contracted(_raised(edges, least, hubs).filter("u > v")))
+    # A node has at most one edge up in each partition now: its lower neighbours and itself go to the least of them.
+    low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).filter("n > 1").select("u", "m")
+    up = large.join(low, "u", "left").withColumn("m", F.coalesce("m", "v"))
+    stays = F.col("v") == F.col("m")
+    return up.select(F.when(stays, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """No node has two edges up, none is both a leaf and a root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.filter("up > 1 or (up = 1 and down = 1)").limit(1).count()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)`` that isn't its component's least node.
 
     ``u`` and ``v`` have one orderable type without nulls; order, direction, repeats and loops don't matter.
     """
-    schema = edges.select("u", "v").filter("u <> v")
-    edges = checkpointed(schema.mapInArrow(_forest, schema.schema))
-    before = _sums(edges)
-    while before[0]:
-        if before[0] <= min(local, FOREST_NODES // 2):
-            edges = checkpointed(edges.coalesce(1).mapInArrow(_forest, schema.schema))
-            break
+    edges = checkpointed(contracted(edges.select("u", "v").filter("u <> v")).distinct())
+    while not _is_star(edges):
         edges = checkpointed(_star(edges))
-        now = _sums(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,28 +1,32 @@
 """Near-duplicates by Order MinHash.
 
-A text's k-mers are its runs of five lower-cased words, each labelled with its occurrence number. For
-each of ``BANDS`` hash functions the ``ELL`` least labelled k-mers are taken and put back into text
-order; their hash is the text's bucket, so a bucket is shared by texts that agree in content and order.
-Within a bucket, texts are sorted by the sequence of their next minima, and neighbours become the first
-candidates: texts that are much alike have long common sequences and mostly lie side by side. The sort
-is a range partition over all buckets at once (a bucket may span partitions; their ends are joined up).
-Then every other pair of a bucket is met, unless links have already connected it: buckets are split by
-length, large ones into blocks that meet each other in tasks of their own, and a pair is passed over
-only where lengths or word counts by hash rule out the similarity. No pair of a bucket is dropped,
-however large the bucket; what is left of a bucket's pairs after lengths grows with its square.
+A text's k-mers are its runs of five lower-cased words, each labelled with its occurrence number. Each of
+``BANDS`` hash functions samples the ``MINIMA`` least labelled k-mers and puts them back into text order;
+every ordered pair of them that lies at least a ``SPREAD`` of the text apart is a bucket of the text. So a
+bucket is shared by texts that agree in content and order in places far from each other: a passage that
+fills less than a quarter of its texts brings none of them together.
+
+Within a bucket, texts are sorted by a signature of all minima, and neighbours become the first
+candidates: texts that are much alike mostly lie side by side. The sort is a range partition over all
+buckets at once (a bucket may span partitions; their ends are joined up). Then every other pair of a
+bucket is met, unless links have already connected it: buckets are split by length, large ones into
+blocks that meet each other in tasks of their own, and a pair is passed over only where lengths or word
+counts by hash rule out the similarity. No pair of a bucket is dropped, however large the bucket; what
+is left of a bucket's pairs after links, lengths and counts grows with its square.
 
 Candidates are verified by a banded, bit-parallel alignment over words: a link needs an edit
-similarity, 1 - distance / length of the longer text, of ``SIMILARITY``. Verification runs in rounds;
-pairs that an earlier one has already connected aren't verified again. Classes are the components of
-links.
+similarity, 1 - distance / length of the longer text, of ``SIMILARITY``. The alignment compares 32-bit
+hashes of words: two unlike words count as equal once in 4 billion comparisons. Classes are the
+components of links.
 
-A pair whose labelled k-mers have a Jaccard similarity of s shares a bucket in a band with probability
-near s ** ELL: missed by all 16 bands in 1 of 10 million pairs at 0.8.
+Recall is a matter of the bands. Texts of 200 words with random substitutions share a bucket in about
+0.94 of the cases at an edit similarity of 0.81, 0.99 at 0.85 and nearly always from 0.9 (a test holds
+it to 0.9). Texts under eight words need a whole k-mer in common.
 
 Defined cases: null and empty texts are equal, a class of their own; exact copies are folded before
 anything else; texts under five words are one k-mer; texts are read whole; repeated rows share a
 class; classes are named by their least doc_id, nulls aside; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored or, in ``deduplicated``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,14 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, checkpointed, map_rows, text_of
+from lectern.llm.common import WORD, checkpointed, hot_keys, map_rows, spread_join, text_of
 from lectern.llm.components import components
 
-K, ELL, BANDS, DEPTH, SIMILARITY = 5, 2, 16, 6, 0.8
-#: Bands of each verification round of neighbours.
-ROUNDS = ((0, 1), tuple(range(2, BANDS)))
+K, BANDS, MINIMA, SPREAD, SIMILARITY = 5, 16, 4, 0.25, 0.8
 #: Texts of a block where a bucket's pairs are met, about, and counters of words by hash.
-BLOCK, BINS = 1_024, 256
+BLOCK, BINS = 1_024, 128
+_I, _J = np.triu_indices(MINIMA, 1)
 _FIND = re.compile(WORD).findall
 _ODD = np.array([int.from_bytes(hashlib.blake2b(f"band {i}".encode(), digest_size=8).digest()) | 1 for i in range(BANDS)], np.uint64)[:, None]
 _U = np.uint64
@@ -91,21 +94,25 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
-def sketch(h: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(band, bucket, order within the bucket) for each band."""
+def sketch(h: np.ndarray) -> list[tuple[int, int]]:
+    """(bucket, order within the bucket) of each spread pair of minima."""
     if not len(h):
         return []
-    values = _mix(kmers(h)[None] * _ODD + (_ODD >> _U(7)))
-    n = min(DEPTH, values.shape[1])
-    at = np.argpartition(values, n - 1, axis=1)[:, :n]
+    marks = kmers(h)
+    n = len(marks)
+    if n < MINIMA:
+        return [(int(x), 0) for x in np.unique(_mix(marks).view(np.int64))]
+    values = _mix(marks[None] * _ODD + (_ODD >> _U(7)))
+    at = np.sort(np.argpartition(values, MINIMA - 1, axis=1)[:, :MINIMA], axis=1)  # back in text order
     low = np.take_along_axis(values, at, 1)
-    rank = np.argsort(low, axis=1, kind="stable")
-    at, low = np.take_along_axis(at, rank, 1), np.take_along_axis(low, rank, 1)
-    chosen = np.take_along_axis(values, np.sort(at[:, :ELL], axis=1), 1)  # back in text order
-    bucket = np.zeros(BANDS, np.uint64)
-    for c in chosen.T:
-        bucket = _mix(bucket * _U(0xD1342543DE82EF95) + c)
-    return [(i, int(b), d.tobytes()) for i, (b, d) in enumerate(zip(bucket.astype(np.int64), (low >> _U(32)).astype(">u4")))]
+    buckets = _mix(low[:, _I] * _U(0xD1342543DE82EF95) + low[:, _J]).view(np.int64)
+    far = at[:, _J] - at[:, _I] >= SPREAD * n
+    deep = np.zeros(BANDS, np.uint64)
+    for c in np.sort(low, axis=1).T:
+        deep = deep << _U(8) | c >> _U(56)
+    bands, pairs = np.nonzero(far)
+    found = dict(zip(buckets[bands, pairs].tolist(), deep.astype(np.uint32).view(np.int32)[bands].tolist()))
+    return list(found.items())
 
 
 def distance(a: Sequence, b: Sequence, band: int) -> int:
@@ -154,48 +161,52 @@ def alike(a: Sequence, b: Sequence, similarity: float = SIMILARITY) -> bool:
     return distance(a, b, band) <= band
 
 
+_NEAR = pa.schema([("part", pa.int32()), ("end", pa.int32()), ("bucket", pa.int64()), ("a", pa.int64()), ("na", pa.int32()), ("b", pa.int64()), ("nb", pa.int32())])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, bucket, order, cls): neighbours of one bucket, and the partition's ends."""
+    """Rows sorted by (bucket, order, id): neighbours of one bucket, and the partition's ends."""
     from pyspark import TaskContext
 
     part, first, last = TaskContext.get().partitionId(), None, None
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()))], ["part", "end", "band", "bucket", "a", "b"])
-
     for batch in batches:
-        rows = []
-        for r in zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "cls"))):
-            if first is None:
-                first = r
-            elif r[:2] == last[:2] and r[2] != last[2]:
-                rows.append((part, 0, *r[:2], last[2], r[2]))
-            last = r
-        if rows:
-            yield out(rows)
+        bucket, node, n = (batch.column(c).to_numpy() for c in ("bucket", "id", "n"))
+        if not len(bucket):
+            continue
+        if first is None:
+            first = bucket[0], node[0], n[0]
+        else:
+            bucket, node, n = (np.r_[x, y] for x, y in zip(last, (bucket, node, n)))
+        last = bucket[-1], node[-1], n[-1]
+        at = np.flatnonzero(bucket[1:] == bucket[:-1])
+        if len(at):
+            same = np.full(len(at), part, np.int32), np.zeros(len(at), np.int32)
+            cols = [*same, bucket[at], node[at], n[at], node[at + 1], n[at + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NEAR)], schema=_NEAR)
     if first is not None:
-        yield out([(part, 1, *first, None), (part, 2, *last, None)])
+        yield pa.RecordBatch.from_pylist([dict(zip(_NEAR.names, (part, e, int(x[0]), int(x[1]), int(x[2]), None, None))) for e, x in ((1, first), (2, last))], schema=_NEAR)
 
 
 def neighbours(sketches: DataFrame) -> DataFrame:
-    """(band, bucket, a, b): neighbours within the buckets of ``sketches(band, bucket, deep, cls)``."""
+    """(bucket, a, na, b, nb): neighbours within the buckets of ``sketches(bucket, deep, id, n)``, ids with their numbers of words."""
     n = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sketches.repartitionByRange(n, "band", "bucket", "deep", "cls").sortWithinPartitions("band", "bucket", "deep", "cls")
-    met = checkpointed(dealt.mapInArrow(_neighbours, "part int, end int, band int, bucket long, a string, b string"))
+    dealt = sketches.repartitionByRange(n, "bucket", "deep", "id").sortWithinPartitions("bucket", "deep", "id")
+    met = checkpointed(dealt.select("bucket", "id", "n").mapInArrow(_neighbours, "part int, end int, bucket long, a long, na int, b long, nb int"))
     # Two rows a partition: where a bucket goes on in the next partition, its last text meets the first there.
     order = Window.orderBy("part", "end")
-    ends = met.filter("end > 0").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("end", "band", "bucket", "a")))
-    seam = ends.filter("end = 2 and next_end = 1 and band = next_band and bucket = next_bucket and a <> next_a").select("band", "bucket", "a", F.col("next_a").alias("b"))
-    return met.filter("end = 0").select("band", "bucket", "a", "b").unionByName(seam)
+    ends = met.filter("end > 0").select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("end", "bucket", "a", "na")))
+    seam = ends.filter("end = 2 and next_end = 1 and bucket = next_bucket and a <> next_a").select("bucket", "a", "na", F.col("next_a").alias("b"), F.col("next_na").alias("nb"))
+    return met.filter("end = 0").select("bucket", "a", "na", "b", "nb").unionByName(seam)
 
 
-def candidates(near: DataFrame) -> DataFrame:
-    """(band, a, b) with a < b, once a pair, of the neighbours."""
-    return near.select("band", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.min("band").alias("band"))
+def candidates(near: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) with a < b, once a pair, of the neighbours whose lengths allow the similarity."""
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") - F.floor((1 - similarity) * F.greatest("na", "nb") + 1e-9)
+    return near.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def word_counts(h: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((h % _U(BINS)).astype(np.int64), minlength=BINS), 0xFFFF).astype("<u2")
+    return np.minimum(np.bincount((h % _U(BINS)).astype(np.int64), minlength=BINS), 0xFF).astype(np.uint8)
 
 
 def possible(n: np.ndarray, counts: np.ndarray, root: np.ndarray, home: np.ndarray, block: np.ndarray, two: bool, similarity: float = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
@@ -220,36 +231,35 @@ def possible(n: np.ndarray, counts: np.ndarray, root: np.ndarray, home: np.ndarr
 
 
 def bucket_pairs(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b, root_a, root_b) with a < b: all pairs of the neighbours' buckets that may be alike and have two roots.
+    """(a, b) with a < b: all pairs of the neighbours' buckets that may be alike and have two roots.
 
     Lengths that differ by a stratum or more are never alike: a text is at home in its stratum and a
     guest in the next. Each stratum's texts are dealt into blocks by hash; two blocks meet in one group.
     """
-    crowded = near.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1").select("band", "bucket")  # else two texts, neighbours
-    texts_of = near.join(crowded, ["band", "bucket"], "left_semi").select("band", "bucket", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    facts = texts.select("cls", "n", F.floor(F.log("n") / F.log(F.lit(1.05 / similarity))).cast("int").alias("own"))
-    placed = texts_of.join(facts, "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = checkpointed(placed.withColumn("stratum", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("stratum")))
-    cell = ["band", "bucket", "stratum"]
+    members = near.select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("bucket", "m.*")
+    rooted = members.distinct().join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Two texts of a bucket are neighbours, and texts of one root are done.
+    many = rooted.groupBy("bucket").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("m > 2 and low < high").select("bucket")
+    own = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.05 / similarity))).cast("int")
+    placed = rooted.join(many, "bucket", "left_semi").withColumn("own", own)
+    placed = checkpointed(placed.withColumn("stratum", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("stratum")).drop("own"))
+    cell = ["bucket", "stratum"]
     cells = placed.groupBy(cell).agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"))
     cells = cells.filter("low < high and any").select(*cell, F.ceil(F.col("m") / block).alias("parts"))
-    dealt = placed.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("cls"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.join(texts.select("cls", "counts"), "cls").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    dealt = placed.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.join(texts.select("id", "counts"), "id").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     group = [*cell, "p", "q"]
     parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "n", "cls").select(*group, "block", "cls", "root", "home", "n", "counts")
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple]:
-        blocks, cls, root, home, n, counts = zip(*(r[5:] for r in rows))
-        number = {r: i for i, r in enumerate(dict.fromkeys(root))}
-        if len(number) > 1:
-            table = np.frombuffer(b"".join(counts), "<u2").reshape(-1, BINS)
-            for i, js in possible(np.array(n), table, np.array([number[r] for r in root]), np.array(home), np.array(blocks), rows[0][3] != rows[0][4], similarity):
-                for j in js:
-                    yield (cls[i], cls[j], root[i], root[j]) if cls[i] < cls[j] else (cls[j], cls[i], root[j], root[i])
+    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "n", "id").select(*group, "block", "id", "root", "home", "n", "counts")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], ["a", "b", "root_a", "root_b"])
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        blocks, ids, root, home, n, counts = zip(*(r[4:] for r in rows))
+        root, ids = np.array(root), np.array(ids)
+        if (root != root[0]).any():
+            table = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, BINS)
+            for i, js in possible(np.array(n), table, root, np.array(home), np.array(blocks), rows[0][2] != rows[0][3], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[js])), pa.array(np.maximum(ids[i], ids[js]))], schema=schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, found = [], []
@@ -260,97 +270,91 @@ def bucket_pairs(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity
             yield None
 
         for r in stream():
-            if rows and (r is None or r[:5] != rows[0][:5]):
-                for pair in pairs(rows):
-                    found.append(pair)
-                    if len(found) >= 10_000:
-                        yield out(found)
+            if rows and (r is None or r[:4] != rows[0][:4]):
+                for some in pairs(rows):
+                    found.append(some)
+                    if len(found) >= 1_000:
+                        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
                         found = []
                 rows = []
             if r is not None:
                 rows.append(r)
         if found:
-            yield out(found)
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(meet, "a string, b string, root_a string, root_b string").dropDuplicates(["a", "b"])
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) whose texts are alike. ``texts(cls, h)`` holds word hashes as bytes."""
-    one = pairs.select("a", "b").join(texts.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a")
-    both = one.join(texts.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
+    """(u, v): pairs (a, b) whose texts are alike. ``texts(id, h)`` holds word hashes as bytes."""
+    hot = [hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side) for side in ("a", "b")]
+    one = spread_join(pairs.select("a", "b"), texts.select(F.col("id").alias("a"), F.col("h").alias("x")), "a", hot[0])
+    both = spread_join(one, texts.select(F.col("id").alias("b"), F.col("h").alias("y")), "b", hot[1])
 
     def make():
         read = lambda v: np.frombuffer(v, "<u4").tolist()
         return lambda a, b, x, y: ((a, b),) if alike(read(x), read(y), similarity) else ()
 
-    return map_rows(both.select("a", "b", "x", "y"), make, "u string, v string", flat=True)
+    return map_rows(both.select("a", "b", "x", "y"), make, "u long, v long", flat=True)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, cls) of every row, and (cls, class_cls, class_id): classes of the distinct texts."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, list]:
+    """(key, cls) of every row; (cls, class_cls, class_id): classes of the distinct texts; texts with very many copies."""
     source = docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text")).withColumn("cls", F.md5("text"))
-    keys = source.select("key", "cls")
 
     def sketches():
         hasher = Hasher()
-        return lambda cls, key, text: (cls, key, [(i, b, d) for i, b, d in sketch(hasher(_FIND(text.lower())))])
+
+        def row(cls, key, text):
+            h = hasher(_FIND(text.lower()))
+            return cls, key, len(h), sketch(h)
+
+        return row
 
     kind = dict(docs.dtypes)[id_column]
-    made = map_rows(source.select("cls", "key", "text"), sketches, f"cls string, key {kind}, bands array<struct<band:int,bucket:bigint,deep:binary>>")
-    folded = checkpointed(made.groupBy("cls").agg(F.min("key").alias("least"), F.first("bands").alias("bands")))
-    rows = folded.select("cls", F.inline("bands"))
-    # A bucket of one text has no neighbour; nothing else is left out.
-    near = neighbours(rows)
-    pairs = checkpointed(candidates(near))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    made = map_rows(source.select("cls", "key", "text"), sketches, f"cls string, key {kind}, n int, buckets array<struct<bucket:bigint,deep:int>>")
+    folded = checkpointed(made.groupBy("cls").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+    # Written rows have a fixed order, so their numbers are fixed as well.
+    nodes = folded.select(F.monotonically_increasing_id().alias("id"), "cls", "least", "copies", "n", "buckets")
+    near = neighbours(nodes.select("id", "n", F.inline("buckets")))
+    pairs = checkpointed(candidates(near, similarity))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def word_hashes():
         hasher = Hasher()
 
-        def row(cls, text):
+        def row(node, text):
             h = hasher(_FIND(text.lower()))
-            return cls, len(h), word_counts(h).tobytes(), h.astype("<u4").tobytes()
+            return node, word_counts(h).tobytes(), h.astype("<u4").tobytes()
 
         return row
 
     # One copy of each text that has a candidate, as 32-bit word hashes.
-    chosen = folded.join(wanted, "cls").select(F.col("cls").alias("_c"), F.col("least").alias("_k"))
-    one = source.join(chosen, (F.col("cls") == F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")), "left_semi")
-    texts = checkpointed(map_rows(one.select("cls", "text"), word_hashes, "cls string, n int, counts binary, h binary").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "counts", "h"))))
-    roots = None
-
-    def linked(todo: DataFrame) -> DataFrame:
-        """Classes after the links of ``todo`` that aren't known yet."""
-        if roots is not None:
-            root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            todo = todo.join(root("a"), "a", "left").join(root("b"), "b", "left")
-            todo = todo.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        links = checkpointed(verified(todo, texts, similarity))
-        return components(links if roots is None else links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-
-    for bands in ROUNDS:
-        roots = linked(pairs.filter(F.col("band").isin(*bands)))
-    # All other pairs of the buckets: one of each two classes first, the rest where that hasn't joined them.
-    rest = checkpointed(bucket_pairs(near, texts, roots, similarity).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    sides = F.struct(F.least("root_a", "root_b"), F.greatest("root_a", "root_b"))
-    first = rest.groupBy(sides.alias("sides")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.a", "pair.b")
-    roots = linked(first)
-    roots = linked(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    placed = folded.select("cls", "least").join(roots, folded["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "cls"))["cls"].alias("class_cls"))
-    return keys, placed.join(named, "root").select("cls", "class_cls", "class_id")
+    chosen = nodes.select("id", F.col("cls").alias("_c"), F.col("least").alias("_k")).join(wanted, "id")
+    one = source.join(chosen, (F.col("cls") == F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")))
+    texts = checkpointed(map_rows(one.select("id", "text"), word_hashes, "id long, counts binary, h binary").groupBy("id").agg(F.first("counts").alias("counts"), F.first("h").alias("h")))
+    roots = components(verified(pairs, texts, similarity))
+    # All other pairs of the buckets, where links haven't joined them yet.
+    rest = checkpointed(bucket_pairs(near, texts, roots, similarity).join(pairs, ["a", "b"], "left_anti"))
+    roots = components(verified(rest, texts, similarity).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    named = nodes.select("id", "cls", "least").join(roots, F.col("id") == F.col("node"), "left")
+    placed = checkpointed(named.select("cls", "least", F.coalesce("root", "id").alias("root")))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "cls"))["cls"].alias("class_cls"))
+    found = spread_join(placed.select("cls", "root"), sizes.drop("n"), "root", hot_keys(sizes.select("root", "n"), "root"))
+    return source.select("key", "cls"), found.select("cls", "class_cls", "class_id"), hot_keys(folded.select("cls", F.col("copies").alias("n")), "cls")
 
 
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, kept``: one document of each class is kept, the one of least id."""
-    keys, found = classes(docs)
-    return keys.join(found, "cls").select(F.col("key").alias("doc_id"), "class_id", F.coalesce(F.col("key") == F.col("class_id"), F.lit(False)).alias("kept"))
+    keys, found, hot = classes(docs)
+    return spread_join(keys, found, "cls", hot).select(F.col("key").alias("doc_id"), "class_id", F.coalesce(F.col("key") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each class, with the columns of ``docs``."""
-    _, found = classes(docs)
-    chosen = found.filter("cls = class_cls").select(F.col("cls").alias("_class"), F.col("class_id").alias("_id"))
-    rows = docs.withColumn("_cls", F.md5(text_of()))
-    return rows.join(chosen, (F.col("_cls") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_class", "_id"]).select(*docs.columns)
+    """One row of each class, with the columns of ``docs``; of rows with the class's least id and text, any one."""
+    _, found, _ = classes(docs)
+    chosen = found.filter("cls = class_cls").select(F.col("cls").alias("c"), F.col("class_id").alias("k"))
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    rows = docs.select(F.md5(text_of()).alias("cls"), F.col("doc_id").alias("key"), whole)
+    rows = rows.join(chosen, (F.col("cls") == F.col("c")) & F.col("key").eqNullSafe(F.col("k"))).dropDuplicates(["c"])
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -23,12 +23,30 @@ def test_banded_distance(a, b, band):
     assert M.distance(a, b, band) == min(plain(a, b), band + 1)
 
 
-def test_sketch_is_order_sensitive():
-    words = M.Hasher()([f"w{i}" for i in range(200)])
-    same = sum(x == y for x, y in zip(M.sketch(words), M.sketch(words.copy())))
-    swapped = sum(x[1] == y[1] for x, y in zip(M.sketch(words), M.sketch(np.r_[words[100:], words[:100]])))
-    assert same == M.BANDS and swapped < M.BANDS
-    assert M.sketch(words[:0]) == [] and len(M.sketch(words[:2])) == M.BANDS
+def test_sketch_is_order_sensitive_and_passes_short_passages_over():
+    fresh = lambda c, n: [f"{c}{i}" for i in range(n)]
+    marks = lambda words: {k for k, _ in M.sketch(M.Hasher()(words))}
+    one = fresh("w", 200)
+    assert marks(one) == marks(list(one)) and len(marks(one)) > 2 * M.BANDS
+    assert len(marks(one) & marks(one[100:] + one[:100])) < len(marks(one)) / 3
+    assert not marks(fresh("a", 100) + one[:45] + fresh("b", 100)) & marks(fresh("c", 60) + one[:45] + fresh("d", 140))
+    assert marks([]) == set() and len(marks(["a", "b"])) == 1
+
+
+def test_recall_by_similarity():
+    rng, words, n = random.Random(9), [f"v{i}" for i in range(5000)], 200
+    hasher = M.Hasher()
+    marks = lambda x: {k for k, _ in M.sketch(hasher(x))}
+    for similarity, least in ((0.8, 0.88), (0.81, 0.9), (0.85, 0.95), (0.9, 0.99), (0.95, 0.99)):
+        met = 0
+        for _ in range(300):
+            a = rng.choices(words, k=n)
+            b = list(a)
+            for i in rng.sample(range(n), round(n * (1 - similarity))):
+                b[i] = f"other{rng.randrange(10**9)}"
+            assert M.alike(a, b)
+            met += bool(marks(a) & marks(b))
+        assert met >= least * 300, (similarity, met)
 
 
 def edited(rng, words, n):
@@ -101,13 +119,24 @@ def test_blocks_meet_all_pairs(spark):
     words = [rng.choices(range(30), k=rng.randrange(4, 60)) for _ in range(60)]
     words += [edited(rng, w, rng.randrange(1, 4)) for w in words]
     hashes = [M.Hasher()([str(x) for x in w]) for w in words]
-    texts = spark.createDataFrame([(f"{i:03}", len(h), M.word_counts(h).tobytes()) for i, h in enumerate(hashes)], "cls string, n int, counts binary")
-    near = spark.createDataFrame([(0, 5, f"{i:03}", f"{i + 1:03}") for i in range(len(words) - 1)], "band int, bucket long, a string, b string")
-    roots = spark.createDataFrame([("061", "001")], "node string, root string")
-    true = {(f"{i:03}", f"{j:03}") for j in range(len(words)) for i in range(j) if M.alike(list(hashes[i]), list(hashes[j]))} - {("001", "061")}
+    texts = spark.createDataFrame([(i, M.word_counts(h).tobytes()) for i, h in enumerate(hashes)], "id long, counts binary")
+    size = [len(w) for w in words]
+    near = spark.createDataFrame([(5, i, size[i], i + 1, size[i + 1]) for i in range(len(words) - 1)], "bucket long, a long, na int, b long, nb int")
+    roots = spark.createDataFrame([(61, 1)], "node long, root long")
+    true = {(i, j) for j in range(len(words)) for i in range(j) if M.alike(list(hashes[i]), list(hashes[j]))} - {(1, 61)}
     found = [{(r.a, r.b) for r in M.bucket_pairs(near, texts, roots, block=size).collect()} for size in (7, 1000)]
     assert found[0] == found[1] and true <= found[0] and len(true) > 40
 
 
+def test_clashing_names_and_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(edited(rng, long, 50))), (3, " ".join(reversed(long)))]
+    extra = ("_cls", "_class", "_id", "cls", "key", "row", "c", "k", "id")
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in extra)}")
+    kept = M.deduplicated(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in kept] == [(*r, *extra) for r in (rows[0], rows[2])]
+
+
 def test_empty(spark):
     assert M.near_duplicate_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0

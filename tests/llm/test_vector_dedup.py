@@ -70,8 +70,21 @@ def test_empty(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-@pytest.mark.parametrize("local", [0, 40, 1000])
-def test_components_of_paths_and_stars(spark, local):
+def test_components_of_paths_stars_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 301), (301, 300)]
-    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), local).collect()}
-    assert roots == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 140)}, 301: 300}
+    edges += [(5000, i) for i in range(1000, 2500)] + [(i, 7000) for i in range(6000, 6200)]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    far = {**dict.fromkeys(range(1001, 2500), 1000), 5000: 1000, **dict.fromkeys(range(6001, 6200), 6000), 7000: 6000}
+    assert roots == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 140)}, 301: 300, **far}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))]
+    root = list(range(400))
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame([(f"{a:04}", f"{b:04}") for a, b in edges], "u string, v string").repartition(7)).collect()}
+    assert got == {f"{i:04}": f"{root[i]:04}" for i in range(400) if root[i] != i}
