@@ -7,12 +7,15 @@ The distance of a cell is a bound: how far the vector must move before the cell'
 nearest. A pair at the threshold is ``sqrt(2 - 2 * threshold)`` apart; a move of that length in a
 random direction of D dimensions goes ``length / sqrt(D)`` towards a given bound, and ``REACH`` such
 deviations are covered (0.9999 of such moves for 4). Every pair met in a cell is verified in double
-precision, so no link is false; the tests measure recall against brute force.
+precision, so no link is false; the tests measure recall against brute force. A pair that only one of
+its vectors meets counts for both.
 
 Equal vectors are folded into one with a count before anything is compared. A cell's vectors and
 queries are dealt into blocks, and only block pairs travel together, so a group of any size is split
-and its links are counted without ever being listed. The codebooks are trained on ``SAMPLE`` vectors
-at most, those of least hash; every vector is indexed.
+and its links are counted without ever being listed. The grid grows with the largest label, so that a
+cell holds about ``CELL`` vectors at every size: a half has the square root of vectors / ``CELL``
+centroids. The codebooks are trained on ``SAMPLE`` vectors, or ``PER_CENTROID`` for each centroid if
+that is more, those of least hash (225,000 for 50 billion vectors); every vector is indexed.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without label or id, link with nothing and are components of their own; vectors of unlike length don't
@@ -30,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed
+from lectern.llm.common import checkpointed, hot_keys, spread_join
 from lectern.llm.components import components
 
 THRESHOLD, SAMPLE, REACH = 0.98, 20_000, 4.0
-#: Vectors that a cell should hold, about, and the most centroids of a half.
-CELL, MAX_CENTROIDS = 256, 256
+#: Vectors that a cell should hold, about, and training vectors of a centroid, at least.
+CELL, PER_CENTROID = 256, 16
 #: Least and most vectors of a block; between them a block is a share of the mean partition.
 MIN_BLOCK, MAX_BLOCK = 256, 4_096
 
@@ -49,7 +52,7 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of the rows of ``x`` by Lloyd's rounds, from evenly spaced rows."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        at = (x @ c.T * -2 + (c * c).sum(1)).argmin(1)
+        at = np.concatenate([(part @ c.T * -2 + (c * c).sum(1)).argmin(1) for part in np.array_split(x, -(-len(x) // 4096))])
         n = np.bincount(at, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
@@ -59,10 +62,11 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """For each row and centroid: how far the row must move before that centroid is its nearest."""
-    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+    size = (c * c).sum(1)
+    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + size
     home = d.argmin(1)
-    apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-30))
-    out = np.maximum(d - d[np.arange(len(x)), home][:, None], 0) / (2 * apart[home])
+    apart = np.sqrt(np.maximum(size[home][:, None] - 2 * c[home] @ c.T + size, 1e-30))
+    out = np.maximum(d - d[np.arange(len(x)), home][:, None], 0) / (2 * apart)
     out[np.arange(len(x)), home] = 0
     return out
 
@@ -114,7 +118,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     def groups():
         rows, at = [], None
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("grp", "cell", "mb", "qb", "query", "cls", "n", "v"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("grp", "cell", "mb", "qb", "query", "cls", "n", "v", "home", "cells"))):
                 if r[:4] != at:
                     if rows:
                         yield rows
@@ -130,7 +134,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             continue
         m, q = (np.frombuffer(b"".join(r[3] for r in x)).reshape(len(x), -1) for x in (members, queries))
         linked = q @ m.T >= threshold
+        if not linked.any():
+            continue
         n = linked @ np.array([r[2] for r in members])
+        # A member that doesn't query the cell of its partner won't meet it there: the pair counts for it here.
+        homes, home = np.unique([r[4] for r in queries], return_inverse=True)
+        meets = np.array([np.isin(homes, r[5]) for r in members])
+        more = (linked & ~meets[:, home].T).T @ np.array([r[2] for r in queries])
         label = np.arange(len(members))
         while True:
             of_query = np.where(linked, label, len(members)).min(1)
@@ -139,26 +149,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 break
             label = new
         out = [(r[1], int(k), members[c][1] if c < len(members) else r[1]) for r, k, c in zip(queries, n, of_query) if k]
-        out += [(r[1], 0, members[c][1]) for i, (r, c) in enumerate(zip(members, label)) if i != c]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        out += [(r[1], int(k), members[c][1]) for i, (r, c, k) in enumerate(zip(members, label, more)) if i != c or k]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def links(indexed: DataFrame, threshold: float) -> DataFrame:
     """(cls, n, root): vectors linked to ``cls`` within a block pair, and an edge of its spanning stars."""
     spark = indexed.sparkSession
-    query = indexed.select("grp", F.explode("cells").alias("cell"), F.lit(True).alias("query"), "cls", "n", "v")
-    member = indexed.select("grp", F.col("home").alias("cell"), F.lit(False).alias("query"), "cls", "n", "v")
+    query = indexed.select("grp", F.explode("cells").alias("cell"), F.lit(True).alias("query"), "cls", "n", "v", "home", F.lit(None).cast("array<int>").alias("cells"))
+    member = indexed.select("grp", F.col("home").alias("cell"), F.lit(False).alias("query"), "cls", "n", "v", "home", "cells")
     sides = [x.select("grp", "cell").groupBy("grp", "cell").agg(F.count("*").alias(n)) for x, n in ((member, "members"), (query, "queries"))]
     sizes = checkpointed(sides[0].join(sides[1], ["grp", "cell"]))
     rows = sizes.agg(F.sum(F.col("members") + F.col("queries"))).first()[0] or 0
     block = int(min(MAX_BLOCK, max(MIN_BLOCK, rows // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    place = F.concat_ws("|", "grp", "cell").alias("place")
+    hot = hot_keys(sizes.select(place, (F.col("members") + F.col("queries")).alias("n")), "place")
     sizes = sizes.select("grp", "cell", F.ceil(F.col("members") / block).alias("mbs"), F.ceil(F.col("queries") / block).alias("qbs"))
     own = lambda c: F.pmod(F.xxhash64("cls"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    query = query.join(sizes, ["grp", "cell"]).withColumn("qb", own("qbs")).withColumn("mb", every("mbs"))
-    member = member.join(sizes, ["grp", "cell"]).withColumn("mb", own("mbs")).withColumn("qb", every("qbs"))
-    cut = query.unionByName(member).select("grp", "cell", "mb", "qb", "query", "cls", "n", "v")
+    sized = lambda rows: spread_join(rows.withColumn("place", place), sizes.select(place, "mbs", "qbs"), "place", hot).drop("place")
+    query = sized(query).withColumn("qb", own("qbs")).withColumn("mb", every("mbs"))
+    member = sized(member).withColumn("mb", own("mbs")).withColumn("qb", every("qbs"))
+    cut = query.unionByName(member).select("grp", "cell", "mb", "qb", "query", "cls", "n", "v", "home", "cells")
     cut = cut.repartition("grp", "cell", "mb", "qb").sortWithinPartitions("grp", "cell", "mb", "qb")
     return cut.mapInArrow(lambda b: _blocks(b, threshold), "cls string, n long, root string")
 
@@ -180,8 +192,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     if not width:
         return alone
     width = max(width, 2)
-    k = int(max(1, min(MAX_CENTROIDS, round((most / CELL) ** 0.5))))
-    picked = [r[0] for r in classes.orderBy(F.xxhash64(F.lit("sample"), "cls"), "cls").limit(sample).select("embedding").collect()]
+    k = int(max(1, round((most / CELL) ** 0.5)))
+    picked = [r[0] for r in classes.orderBy(F.xxhash64(F.lit("sample"), "cls"), "cls").limit(max(sample, PER_CENTROID * k)).select("embedding").collect()]
     fit = np.zeros((len(picked), width))
     for i, v in enumerate(picked):
         fit[i, : len(v)] = v
@@ -191,9 +203,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
     indexed = checkpointed(index(classes, books, width, length * min(1.0, reach / width**0.5)))
     found = checkpointed(links(indexed, threshold))
     roots = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")).distinct())
-    placed = classes.select("cls", "least", "n").join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.select("cls", "least", "n").join(roots, classes["cls"] == roots["node"], "left")
+    placed = checkpointed(named.select("cls", "least", F.coalesce("root", "cls").alias("root")))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
-    info = placed.join(least, "root").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
-    joined = good.select("vec_id", "cls").join(info, "cls")
+    info = spread_join(placed, least.drop("n"), "root", hot_keys(least, "root")).join(counts, "cls", "left")
+    info = info.select("cls", "component_id", (F.coalesce("n", F.lit(1)) - 1).alias("n_links"))
+    joined = spread_join(good.select("vec_id", "cls"), info, "cls", hot_keys(classes, "cls"))
     return joined.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(alone)
