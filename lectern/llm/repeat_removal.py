@@ -2,17 +2,19 @@
 
 Every byte inside a ``LENGTH``-byte string that also starts elsewhere goes; strings are judged on the
 input and never cross documents. The result is exact (up to collisions of 64-bit hashes that must
-agree with another one as well).
+agree with another one as well). Documents go by 128-bit hashes of id and text.
 
 Each window of ``LENGTH`` bytes is owned by the least-hashed gram of ``GRAM`` bytes inside it, so equal
 windows have equal owners at equal distance. Neighbouring windows with one owner form a stretch, about
 85 bytes apart on average. Only stretches whose gram occurs twice can hold a repeat. A stretch that
 occurs twice as a whole is a repeat as a whole, one row for up to 169 windows; what is left are
 stretches at the ends of repeated passages, and their windows are compared one by one: within a task
-for the stretches of one gram, and by a count over all tasks for grams with very many.
+for the stretches of one gram, and by a count over all tasks for grams with more than ``MEET`` unlike
+stretches, a group's fixed limit whatever the corpus.
 
-Counts by gram and by stretch combine on the map side; joins on them are plain equi-joins whose large
-side Spark can split; no task holds a passage's occurrences together. Texts move twice, compressed.
+Counts by gram and by stretch combine on the map side; in joins on them the rows of very frequent
+grams, stretches and windows are dealt over all partitions, so no task holds a passage's occurrences
+together. Texts move twice, compressed.
 
 Defined cases: a null or empty text keeps nothing and loses nothing; texts shorter than ``LENGTH`` bytes
 stay whole; repeated rows repeat each other and lose all windows; an empty table gives no rows; extra
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checkpointed, map_rows, text_of
+from lectern.llm.common import checkpointed, hot_keys, map_rows, spread_join, text_of
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text that a task hashes at a time, and of stretches that it compares at a time; a dozen arrays of eight bytes each go with a byte.
 SLAB = 1 << 20
-#: Stretches of one gram that may meet in one task: at least this, or twice the mean partition.
-MEET = 256
+#: Stretches of one gram that meet in one task; the windows of larger groups are counted over all tasks.
+MEET = 1_024
 _U = np.uint64
 _LOW = _U((1 << 31) - 1)
 
@@ -100,41 +102,41 @@ def _slabs(batch: pa.RecordBatch, column: str, slab: int = SLAB) -> Iterator[tup
         at = to
 
 
-_ROW = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("dk", pa.int64()), ("loc", pa.int64())])
+_ROW = pa.schema([(c, pa.int64()) for c in ("g", "c", "dk", "dl", "loc")])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(g, c, dk, loc) of every stretch; ``loc`` is first window * 256 + windows - 1."""
+    """(g, c, dk, dl, loc) of every stretch; ``loc`` is first window * 256 + windows - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, b, ends in _slabs(batch, "text"):
                 doc, first, more, g, c = stretches(b, ends)
                 if len(doc):
-                    keys = part.column("dk").to_numpy()[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), c.view(np.int64), keys, first << 8 | more)], schema=_ROW)
+                    keys = [part.column(k).to_numpy()[doc] for k in ("dk", "dl")]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), c.view(np.int64), *keys, first << 8 | more)], schema=_ROW)
 
-    return docs.select("dk", "text").mapInArrow(run, "g long, c long, dk long, loc long")
+    return docs.select("dk", "dl", "text").mapInArrow(run, "g long, c long, dk long, dl long, loc long")
 
 
 def _packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Texts compressed for their way through a shuffle."""
     types = dict(docs.dtypes)
-    schema = ", ".join(["dk long", *(f"`{c}` {types[c]}" for c in keep), "z binary"])
-    return map_rows(docs.select("dk", *keep, "text"), lambda: lambda *r: (*r[:-1], zlib.compress(r[-1].encode(), 1)), schema)
+    schema = ", ".join(["dk long, dl long", *(f"`{c}` {types[c]}" for c in keep), "z binary"])
+    return map_rows(docs.select("dk", "dl", *keep, "text"), lambda: lambda *r: (*r[:-1], zlib.compress(r[-1].encode(), 1)), schema)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """The bytes of each stretch in ``rows(dk, z, at array<struct<g, k, n, loc>>)``."""
+    """The bytes of each stretch in ``rows(dk, dl, z, at array<struct<g, k, n, loc>>)``."""
 
     def make():
-        def row(dk, z, at):
+        def row(dk, dl, z, at):
             b = zlib.decompress(z)
-            return [(x["g"], x["k"], x["n"], dk, x["loc"], b[(s := x["loc"] >> 8) : s + (x["loc"] & 255) + LENGTH]) for x in at]
+            return [(x["g"], x["k"], x["n"], dk, dl, x["loc"], b[(s := x["loc"] >> 8) : s + (x["loc"] & 255) + LENGTH]) for x in at]
 
         return row
 
-    return map_rows(rows.select("dk", "z", "at"), make, "g long, k long, n long, dk long, loc long, s binary", flat=True)
+    return map_rows(rows.select("dk", "dl", "z", "at"), make, "g long, k long, n long, dk long, dl long, loc long, s binary", flat=True)
 
 
 def _windows(s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +151,7 @@ def _windows(s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by g: windows of single stretches that another stretch of their gram holds."""
-    schema = pa.schema([("dk", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("dk", "dl", "first", "last")])
 
     def met(table: pa.Table) -> pa.RecordBatch:
         rows = table.combine_chunks().to_batches()[0]
@@ -163,7 +165,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
         end = np.r_[new[1:] - 1, len(row) - 1] if len(row) else new
         loc = rows.column("loc").to_numpy() >> 8
-        return pa.RecordBatch.from_arrays([pa.array(rows.column("dk").to_numpy()[row[new]]), pa.array(loc[row[new]] + at[new]), pa.array(loc[row[new]] + at[end])], schema=schema)
+        return pa.RecordBatch.from_arrays([*(pa.array(rows.column(k).to_numpy()[row[new]]) for k in ("dk", "dl")), pa.array(loc[row[new]] + at[new]), pa.array(loc[row[new]] + at[end])], schema=schema)
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -181,35 +183,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("g", pa.int64()), ("w", pa.int64()), ("dk", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("g", "w", "dk", "dl", "first", "n")])
     for batch in batches:
         for part, s, ends in _slabs(batch, "s"):
             row, at, w = _windows(s, ends)
-            cols = [part.column(c).to_numpy()[row] for c in ("g", "dk", "loc", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[0], w.view(np.int64), cols[1], (cols[2] >> 8) + at, cols[3])], schema=schema)
+            g, dk, dl, loc, n = (part.column(c).to_numpy()[row] for c in ("g", "dk", "dl", "loc", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, w.view(np.int64), dk, dl, (loc >> 8) + at, n)], schema=schema)
 
 
 def repeats(docs: DataFrame, meet: int = MEET) -> DataFrame:
-    """(dk, first, last): runs of repeated windows of the documents ``docs(dk, text)``, in bytes."""
+    """(dk, dl, first, last): runs of repeated windows of the documents ``docs(dk, dl, text)``, in bytes."""
     spark = docs.sparkSession
     found = anchors(docs)
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    again = checkpointed(found.join(twice, "g"))
-    kinds = again.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("dk", "loc")).alias("at"))
-    kinds = checkpointed(kinds.select("g", "c", "n", "at.dk", "at.loc"))
-    whole = again.join(kinds.filter("n > 1").select("g", "c"), ["g", "c"])
-    whole = whole.select("dk", F.shiftright("loc", 8).alias("first"), (F.shiftright("loc", 8) + F.col("loc").bitwiseAND(F.lit(255))).alias("last"))
+    twice = checkpointed(found.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"))
+    again = checkpointed(spread_join(found, twice.select("g"), "g", hot_keys(twice, "g")))
+    kinds = again.groupBy("c", "g").agg(F.count("*").alias("n"), F.min(F.struct("dk", "dl", "loc")).alias("at"))
+    kinds = checkpointed(kinds.select("g", "c", "n", "at.dk", "at.dl", "at.loc"))
+    often = kinds.filter("n > 1")
+    whole = spread_join(again, often.select("c", "g"), ["c", "g"], hot_keys(often.select("c", "n"), "c"))
+    whole = whole.select("dk", "dl", F.shiftright("loc", 8).alias("first"), (F.shiftright("loc", 8) + F.col("loc").bitwiseAND(F.lit(255))).alias("last"))
     # Grams with a stretch that occurs once beside others: one copy of each of their stretches is cut out.
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k")
-    open_ = kinds.join(mixed, "g").groupBy("dk").agg(F.collect_list(F.struct("g", "k", "n", "loc")).alias("at"))
-    cut = checkpointed(_cut(_packed(docs).dropDuplicates(["dk"]).join(open_, "dk")))
+    mixed = checkpointed(kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k"))
+    open_ = spread_join(kinds, mixed, "g", hot_keys(mixed, "g", "k"))
+    open_ = open_.groupBy("dk", "dl").agg(F.collect_list(F.struct("g", "k", "n", "loc")).alias("at"))
+    cut = checkpointed(_cut(_packed(docs).dropDuplicates(["dk", "dl"]).join(open_, ["dk", "dl"])))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = max(meet, 2 * cut.count() // parts)
-    near = cut.filter(F.col("k") <= most).select("g", "n", "dk", "loc", "s").repartition(parts, "g").sortWithinPartitions("g")
-    near = near.mapInArrow(_compare, "dk long, first long, last long")
-    single = cut.filter(F.col("k") > most).select("g", "n", "dk", "loc", "s").mapInArrow(_each_window, "g long, w long, dk long, first long, n long")
-    common = single.groupBy("g", "w").agg(F.count("*").alias("m")).filter("m > 1").select("g", "w")
-    far = single.filter("n = 1").join(common, ["g", "w"]).select("dk", "first", F.col("first").alias("last"))
+    near = cut.filter(F.col("k") <= meet).select("g", "n", "dk", "dl", "loc", "s").repartition(parts, "g").sortWithinPartitions("g")
+    near = near.mapInArrow(_compare, "dk long, dl long, first long, last long")
+    single = cut.filter(F.col("k") > meet).select("g", "n", "dk", "dl", "loc", "s").mapInArrow(_each_window, "g long, w long, dk long, dl long, first long, n long")
+    common = checkpointed(single.groupBy("w", "g").agg(F.count("*").alias("n")).filter("n > 1"))
+    far = spread_join(single.filter("n = 1").drop("n"), common.select("w", "g"), ["w", "g"], hot_keys(common.select("w", "n"), "w"))
+    far = far.select("dk", "dl", "first", F.col("first").alias("last"))
     return whole.unionByName(near).unionByName(far)
 
 
@@ -233,12 +237,13 @@ def keep(b: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.withColumn("text", text_of(text_column)).withColumn("dk", F.xxhash64(F.lit("row"), F.col(id_column), F.col("text")))
+    key = lambda seed: F.xxhash64(F.lit(seed), F.col(id_column), F.col("text"))
+    return docs.withColumn("text", text_of(text_column)).withColumn("dk", key(0)).withColumn("dl", key(1))
 
 
 def _with_runs(rows: DataFrame, keep_columns: tuple[str, ...]) -> DataFrame:
-    runs = repeats(rows.select("dk", "text")).groupBy("dk").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return _packed(rows, keep_columns).join(runs, "dk", "left").select(*keep_columns, "z", "runs")
+    runs = repeats(rows.select("dk", "dl", "text")).groupBy("dk", "dl").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return _packed(rows, keep_columns).join(runs, ["dk", "dl"], "left").select(*keep_columns, "z", "runs")
 
 
 def removal_rows(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def test_equals_brute_force(spark, meet, monkeypatch):
     assert got == brute(rows)
 
 
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefghijkl mnop\n") for _ in range(n))
+    shared = fresh(3000)
+    rows = [(1, fresh(1_500_000) + shared + fresh(900_000)), (2, shared[500:]), (3, fresh(400))]
+    names = ("dk", "dl", "z", "runs", "g", "_text")
+    docs = spark.createDataFrame([(*r, *names) for r in rows], f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names)}")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in R.removal_rows(docs).collect()}
+    assert got == {1: (2_403_000, 2500, 1), 2: (2500, 2500, 1), 3: (400, 0, 0)}
+    kept = {r.doc_id: r for r in R.deduplicated(docs).collect()}
+    assert set(kept) == {1, 3} and len(kept[1].text) == 2_400_500 and tuple(kept[3])[2:] == names
+
+
 def test_deduplicated_rows(spark):
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(700))
     docs = spark.createDataFrame([(1, "en", "start " + text, "s", 0), (2, "en", text + " end", "s", 0), (3, "en", text, "s", 0), (4, "en", "", "s", 0), (5, None, "alone", None, None)], "doc_id long, lang string, text string, source string, n_chars long")
