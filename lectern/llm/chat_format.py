@@ -7,10 +7,12 @@ among the token spans by binary search. The template marks each turn with three
 
 so a text's ends are token ends. Control strings inside roles and texts, those of other common
 templates included, get a backslash behind their first character, and one more if backslashes already
-stand there, which can be undone exactly. The query reads everything back from what was rendered.
+stand there, which can be undone exactly. The query reads everything back from what was rendered and
+from the tokens' offsets, in the same pass.
 
-The only shuffle gathers each conversation's turns; a conversation is rendered in one piece, so its
-length bounds a task's memory.
+Token spans are exact in bytes; a token that starts or ends inside a character takes in all of it. The
+only shuffle gathers each conversation's turns; a conversation is rendered in one piece, so its length
+bounds a task's memory.
 
 Defined cases: a null text or role counts as empty; turns with the same number come in order of role,
 then text; repeated rows are turns of their own; rows without a conversation id form one conversation;
@@ -19,12 +21,14 @@ an empty table leaves the added conversation only; extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,7 @@ from lectern.llm.common import map_rows
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LEARNED = "assistant"
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The conversation that the query adds: its texts are control strings.
 PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -64,72 +68,95 @@ def render(turns: list[tuple[str, str]], learned: str = LEARNED) -> tuple[str, l
 
 
 @lru_cache(2)
-def tokenizer(vocabulary: str = VOCABULARY):
-    from tokenizers import AddedToken, Tokenizer, processors
-
-    t = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-    t.post_processor = processors.ByteLevel(trim_offsets=False)
-    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in (TURN, TEXT, END)])
-    return t
-
-
-def encode(formatted: str, spans: list[tuple[int, int]], vocabulary: str = VOCABULARY) -> tuple:
+def tokenizer(vocabulary: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """A rank file's tokenizer with the template's control tokens, and each token's length in bytes."""
+    with open(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    first = max(ranks.values()) + 2  # one id is left free for an end of text
+    special = {c: first + i for i, c in enumerate((TURN, TEXT, END))}
+    sizes = np.zeros(first + len(special), np.int64)
+    for token, rank in ranks.items():
+        sizes[rank] = len(token)
+    for token, rank in special.items():
+        sizes[rank] = len(token)
+    return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), sizes
+
+
+def encode(formatted: str, spans: list[tuple[int, int]], vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token ids, their starts and ends in code points, and the loss mask."""
-    got = tokenizer(vocabulary).encode(formatted, add_special_tokens=False)
-    offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-    mask = np.zeros(len(offsets), bool)
+    encoding, sizes = tokenizer(vocabulary)
+    ids = np.array(encoding.encode(formatted, allowed_special="all"), np.int64)
+    ends = np.cumsum(sizes[ids])
+    starts = ends - sizes[ids]
+    if not formatted.isascii():
+        raw = np.frombuffer(formatted.encode(), np.uint8)
+        point = np.cumsum((raw & 0xC0) != 0x80) - 1
+        starts, ends = point[starts], point[ends - 1] + 1
+    mask = np.zeros(len(ids), bool)
     if spans:
-        edges = np.searchsorted(offsets[:, 0], np.array(spans), "left")
-        for first, last in edges:
+        for first, last in np.searchsorted(starts, np.array(spans), "left"):
             mask[first:last] = True
-    return got.ids, offsets[:, 0].tolist(), offsets[:, 1].tolist(), mask.tolist()
+    return ids, starts, ends, mask
 
 
-def masked_texts(formatted: str, starts: list[int], ends: list[int], mask: list[bool]) -> list[str]:
+def masked_texts(formatted: str, starts, ends, mask) -> list[str]:
     """What lies under the mask, one string for each run of learned tokens, unescaped."""
-    edges = np.flatnonzero(np.diff(np.array([0, *mask, 0], np.int8)))
-    return [unescape(formatted[starts[a] : max(ends[a:b])]) for a, b in zip(edges[::2], edges[1::2])]
+    edges = np.flatnonzero(np.diff(np.r_[0, np.asarray(mask, np.int8), 0]))
+    return [unescape(formatted[starts[a] : ends[b - 1]]) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY, learned: str = LEARNED, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id, formatted, token_ids, starts, ends, loss_mask`` for each conversation."""
-    kind = dict(turns.dtypes)[conversation]
+def digests(formatted: str, starts, ends, mask) -> tuple:
+    """The contract's columns, from a formatted conversation and its tokens alone."""
+    turns = [(unescape(r), unescape(x)) for r, x in _RENDERED.findall(formatted)]
+    learned = "".join(masked_texts(formatted, starts, ends, mask))
+    said = "".join(f"{r}\n{x}\n" for r, x in turns)
+    return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(formatted)
+
+
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def gathered(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``conv_id, turns``: each conversation's turns in order."""
     row = F.struct(F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    whole = turns.groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    return turns.groupBy(F.col(conversation).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+
+
+def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY, learned: str = LEARNED, **columns: str) -> DataFrame:
+    """``conv_id, formatted, token_ids, starts, ends, loss_mask`` for each conversation."""
+    whole = gathered(turns, **columns)
 
     def make():
         def one(key, rows):
             formatted, spans = render([(r["r"], r["x"]) for r in rows], learned)
-            return (key, formatted, *encode(formatted, spans, vocabulary))
+            return (key, formatted, *(x.tolist() for x in encode(formatted, spans, vocabulary)))
 
         return one
 
-    return map_rows(whole, make, f"conv_id {kind}, formatted string, token_ids array<int>, starts array<int>, ends array<int>, loss_mask array<boolean>")
+    return map_rows(whole, make, f"conv_id {dict(whole.dtypes)['conv_id']}, formatted string, token_ids array<int>, starts array<int>, ends array<int>, loss_mask array<boolean>")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The contract's digests, from formatted conversations alone."""
+    """The contract's digests of what ``format_conversations`` returned."""
     kind = dict(formatted.dtypes)["conv_id"]
-
-    def make():
-        def one(key, text, starts, ends, mask):
-            turns = [(unescape(r), unescape(x)) for r, x in _RENDERED.findall(text)]
-            learned = masked_texts(text, starts, ends, mask)
-            said = "".join(f"{r}\n{x}\n" for r, x in turns)
-            return key, len(turns), hashlib.sha256(said.encode()).hexdigest(), sum(map(len, learned)), hashlib.sha256("".join(learned).encode()).hexdigest(), len(text)
-
-        return one
-
     columns = ("conv_id", "formatted", "starts", "ends", "loss_mask")
-    return map_rows(formatted.select(*columns), make, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_rows(formatted.select(*columns), lambda: lambda key, *rest: (key, *digests(*rest)), f"conv_id {kind}, {DIGESTS}")
 
 
-def chat_rows(conversations: DataFrame) -> DataFrame:
+def chat_rows(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The contract's rows: all conversations, and the one that consists of control strings."""
     columns = ("conv_id", "turn", "role", "text")
     kinds = dict(conversations.dtypes)
     probe = conversations.sparkSession.createDataFrame(PROBE, ", ".join(f"{c} {kinds[c]}" for c in columns))
-    return read_back(format_conversations(conversations.select(*columns).unionByName(probe)))
+
+    def make():
+        def one(key, rows):
+            formatted, spans = render([(r["r"], r["x"]) for r in rows])
+            return key, *digests(formatted, *encode(formatted, spans, vocabulary)[1:])
+
+        return one
+
+    return map_rows(gathered(conversations.select(*columns).unionByName(probe)), make, f"conv_id {kinds['conv_id']}, {DIGESTS}")
 
 
 def _oracle() -> str:

@@ -13,7 +13,9 @@ TEXT = st.lists(st.sampled_from([*"ab \n\\<|>[]/é日😀", *C.CONTROLS, "\\<|",
 def test_round_trip_and_mask(turns):
     formatted, spans = C.render(turns)
     assert [(C.unescape(r), C.unescape(x)) for r, x in C._RENDERED.findall(formatted)] == turns
-    _, starts, ends, mask = C.encode(formatted, spans)
+    ids, starts, ends, mask = C.encode(formatted, spans)
+    assert C.tokenizer()[0].decode(ids.tolist()) == formatted
+    assert all(a <= b for a, b in zip(starts, ends)) and (not len(ids) or (starts[0], ends[-1]) == (0, len(formatted)))
     assert C.masked_texts(formatted, starts, ends, mask) == [x for r, x in turns if r == "assistant" and x]
 
 
@@ -21,6 +23,8 @@ def test_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes  you\n\n "), (1, 2, "assistant", None), (1, 3, None, "é" * 4000), (2, 0, "assistant", ""), (None, 5, "assistant", "x"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in C.chat_rows(df).collect()}
+    parts = C.read_back(C.format_conversations(df))
+    assert all(tuple(r) == tuple(got[r.conv_id]) for r in parts.collect())
     assert set(got) == {1, 2, 3, None, -1}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].turns_sha256 == sha("user\nhi\nassistant\nyes  you\n\n \nassistant\n\n\n" + "é" * 4000 + "\n")
