@@ -9,9 +9,13 @@ repetitions learns these labels and scores every whole text.
 Only the scorer's weights are fitted on a sample: ``SAMPLE`` documents of each posterior class at most,
 those of least hash, weighted back to the classes' counts over the whole corpus.
 
-Defined cases: a null or empty text gets every labeller's abstention and scores by the bias alone;
-repeated rows give repeated rows; with an empty table or one class only, the posterior's share is the
-score; extra columns are ignored.
+Labellers read every text once; their votes are written as numbers, which serve the counts, the choice
+of the sample and the rows' weak labels.
+
+Defined cases: a null or empty text gets every labeller's abstention and scores by the bias alone; texts
+are read whole, whatever their length; repeated rows give repeated rows; rows of the sample with equal
+hashes are ordered by their content; with an empty table or one class only, the posterior's share is the
+score; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +24,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, map_rows, text_of
+from lectern.llm.common import WORD, checkpointed, map_rows, row_key, text_of
 
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = ("length", "symbols", "stutter", "case", "variety", "endings", "word_length", "letters", "tails", "bare")
@@ -34,7 +37,7 @@ BUCKETS, SAMPLE, KEEP = 1 << 12, 2_000, 0.5
 _SYMBOLS = frozenset(r"#*$%&|<>{}\~^_=+")
 _LETTER = re.compile(r"[^\W\d_]")
 _TAIL = re.compile(r"[^\w\s]{2}$")
-_END = re.compile(r"[.!?…:;\"')\]»”]\s*$")
+_ENDS = frozenset(".!?…:;\"')]»”")
 _WORDS = re.compile(WORD).findall
 #: Words whose facts a worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 300_000
@@ -78,7 +81,7 @@ def voter():
         stutter = sum(map(str.__eq__, words, words[1:]))
         distinct = len(set(words))
         lines = [x for x in text.split("\n") if x.strip()]
-        ended = sum(1 for x in lines if _END.search(x[-40:]))
+        ended = sum(1 for x in lines if x.rstrip()[-1] in _ENDS)
         chars = sum(map(len, words))
         found = Counter(map(kinds.__getitem__, words))
         bare, tails = found[1] + found[3], found[2] + found[3]
@@ -124,11 +127,11 @@ def _hash(s: str) -> int:
 
 
 def shape(word: str) -> str:
-    """Classes of a word's characters, runs shortened, of its first characters."""
+    """Classes of a word's characters, runs shortened."""
     if word.isalpha() and (word.islower() or word[1:].islower() and word[0].isupper()):
         tail = len(word) - (not word.islower())
         return ("" if word.islower() else "A") + ("a+" if tail > 1 else "a")
-    return re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:12]
+    return re.sub(r"(.)\1+", r"\1+", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 def features(word: str) -> tuple[int, int]:
@@ -151,14 +154,30 @@ def vector(text: str | None) -> dict[int, float]:
     return {b: c / max(1, len(words)) for b, c in out.items()}
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+class Sparse:
+    """Rows of few buckets each, as (row, bucket, value) triples."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float]]], width: int = BUCKETS):
+        self.shape = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
+        self.column = np.array([c for b, _ in rows for c in b], np.int64)
+        self.value = np.array([v for _, x in rows for v in x], float)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], minlength=self.shape[0])
+
+    def turned_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * e[self.row], minlength=self.shape[1])
+
+
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft labels, by gradient steps with per-bucket scaling."""
     w, b = np.zeros(x.shape[1]), 0.0
     weight = weight / weight.sum()
     squares, bias_square = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * weight
-        g, gb = x.T @ error + decay * w, error.sum()
+        error = (1 / (1 + np.exp(-np.clip(x.times(w) + b, -30, 30))) - y) * weight
+        g, gb = x.turned_times(error) + decay * w, error.sum()
         squares += g * g
         bias_square += gb * gb
         w -= 1.0 * g / (np.sqrt(squares) + 1e-8)
@@ -170,16 +189,21 @@ def vote_code(v: tuple[int, ...]) -> int:
     return sum(x * 3**i for i, x in enumerate(v))
 
 
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``row_id, doc_id, text``: rows of one id and text share a 128-bit ``row_id``."""
+    text = text_of(text_column)
+    return docs.select(row_key(F.col(id_column), text).alias("row_id"), F.col(id_column).alias("doc_id"), text.alias("text"))
+
+
 def labelled(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, code): the vote pattern of every row, as a number."""
-    kind = dict(docs.dtypes)[id_column]
-    source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column))
+    """``row_id, doc_id, code``: the vote pattern of every row, as a number."""
+    source = _keyed(docs, id_column, text_column)
 
     def make():
         votes = voter()
-        return lambda key, text: (key, vote_code(votes(text, _WORDS(text))))
+        return lambda row, key, text: (row, key, vote_code(votes(text, _WORDS(text))))
 
-    return map_rows(source, make, f"doc_id {kind}, code int")
+    return map_rows(source, make, f"row_id string, doc_id {dict(source.dtypes)['doc_id']}, code int")
 
 
 class Model:
@@ -206,65 +230,59 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    counts = labelled(docs, id_column, text_column).groupBy("code").agg(F.count("*").alias("n")).collect()
+def train(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", votes: DataFrame | None = None) -> Model:
+    """The model of a corpus. ``votes`` are its rows of ``labelled``, if they are at hand."""
+    votes = checkpointed(labelled(docs, id_column, text_column)) if votes is None else votes
+    counts = votes.groupBy("code").agg(F.count("*").alias("n")).collect()
     codes, n = np.array([r.code for r in counts], np.int64), np.array([r.n for r in counts], float)
     patterns = (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     good, table, share = expectation_maximisation(patterns.reshape(-1, len(LABELLERS)), n)
     posterior = {int(c): float(g) for c, g in zip(codes, good)}
-    source = docs.select(F.xxhash64(F.lit("fit"), F.col(id_column).cast("string"), F.length(text_column)).alias("h"), text_of(text_column))
-    # Hash prefixes cut the table to about the sample's size before its features are made.
-    rare = min(n[good >= 0.5].sum(), n[good < 0.5].sum())
-    if not rare:
+    if not min(n[good >= 0.5].sum(), n[good < 0.5].sum()):
         return Model(posterior, table, share, np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
 
-    def side(is_good: bool) -> list:
-        total = n[(good >= 0.5) == is_good].sum()
-        part = min(1.0, 1.5 * sample / total)
-        inside = (F.shiftrightunsigned("h", 1) < int(part * (2**63 - 1))) if part < 1 else F.lit(True)
-
-        def make():
-            votes = voter()
-
-            def row(h, text):
-                code = vote_code(votes(text, _WORDS(text)))
-                if (posterior[code] >= 0.5) != is_good:
-                    return ()
-                v = vector(text)
-                return ((h, posterior[code], list(v), list(v.values())),)
-
-            return row
-
-        rows = map_rows(source.filter(inside), make, "h long, good double, b array<int>, x array<double>", flat=True)
-        return [(r, total) for r in rows.orderBy("h").limit(sample).collect()]
-
-    sides = [side(False), side(True)]
-    rows = [r for s in sides for r, _ in s]
-    weight = np.concatenate([np.full(len(s), s[0][1] / len(s)) if s else np.zeros(0) for s in sides])
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in zip(count(), rows):
-        x[i, r.b] = r.x
-    w, b = fit(x, np.array([r.good for r in rows]), weight)
-    return Model(posterior, table, share, w, b)
+    # The rows of least hash of each class; only they are read again.
+    def picked(is_good: bool) -> DataFrame:
+        of_class = votes.filter(F.col("code").isin([int(c) for c in codes[(good >= 0.5) == is_good]]))
+        return of_class.select("row_id", "code").orderBy(F.xxhash64(F.lit("fit"), "row_id"), "row_id").limit(sample)
 
-
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, score, weak_label, kept`` for every row, by one narrow pass."""
-    kind = dict(docs.dtypes)[id_column]
-    source = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column))
+    chosen = picked(False).unionByName(picked(True)).groupBy("row_id").agg(F.first("code").alias("code"), F.count("*").alias("copies"))
+    chosen = [tuple(r) for r in chosen.collect()]
+    kept = docs.sparkSession.createDataFrame(chosen, "row_id string, code int, copies long")
+    source = _keyed(docs, id_column, text_column).join(F.broadcast(kept), "row_id").dropDuplicates(["row_id"])
 
     def make():
-        one, votes, posterior = model.scorer(), voter(), model.posterior
-
-        def row(key, text):
-            words = _WORDS(text)
-            s = one(words)
-            return key, s, posterior.get(vote_code(votes(text, words))), s >= KEEP
+        def row(key, code, copies, text):
+            v = vector(text)
+            return key, code, copies, list(v), list(v.values())
 
         return row
 
-    return map_rows(source, make, f"doc_id {kind}, score double, weak_label double, kept boolean")
+    rows = map_rows(source.select("row_id", "code", "copies", "text"), make, "row_id string, code int, copies long, b array<int>, x array<double>").collect()
+    rows.sort(key=lambda r: r.row_id)
+    y = np.array([posterior[r.code] for r in rows])
+    copies = np.array([r.copies for r in rows], float)
+    total = {side: n[(good >= 0.5) == side].sum() / copies[(y >= 0.5) == side].sum() for side in (False, True)}
+    w, b = fit(Sparse([(r.b, r.x) for r in rows]), y, copies * np.where(y >= 0.5, total[True], total[False]))
+    return Model(posterior, table, share, w, b)
+
+
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", votes: DataFrame | None = None) -> DataFrame:
+    """``doc_id, score, weak_label, kept`` for every row, by one pass over texts; weak labels come from their written votes."""
+    votes = labelled(docs, id_column, text_column) if votes is None else votes
+    source = _keyed(docs, id_column, text_column)
+
+    def make():
+        one = model.scorer()
+        return lambda row, key, text: (row, key, one(_WORDS(text)))
+
+    scored = map_rows(source, make, f"row_id string, doc_id {dict(source.dtypes)['doc_id']}, score double")
+    # At most one row per pattern of votes: bounded by the number of labellers.
+    known = docs.sparkSession.createDataFrame(list(model.posterior.items()), "code int, weak_label double")
+    labels = votes.select("row_id", "code").dropDuplicates(["row_id"]).join(F.broadcast(known), "code", "left")
+    return scored.join(labels, "row_id").select("doc_id", "score", "weak_label", (F.col("score") >= KEEP).alias("kept"))
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:
-    return score(docs, train(docs))
+    votes = checkpointed(labelled(docs))
+    return score(docs, train(docs, votes=votes), votes=votes)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -27,6 +28,55 @@ def test_quality_on_labels_it_never_saw(spark):
     assert len(rows) > 300 and sum(r.kept == (r.quality == 1) for r in rows) / len(rows) >= 0.97
 
 
+def plain_votes(text):
+    """The labellers again, character by character."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, letters = len(words), [c for c in text if c.isalpha()]
+    if not n:
+        return (2,) * 10
+    rule = lambda bad, good: 0 if bad else 1 if good else 2
+    symbols = len([c for c in text if c in r"#*$%&|<>{}\~^_=+"])
+    upper = len([c for c in letters if c.isupper()]) / max(1, len(letters))
+    same = len([i for i in range(1, n) if words[i] == words[i - 1]])
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    ended = len([x for x in lines if x[-1] in ".!?…:;\"')]»”"])
+    chars = len("".join(words))
+    tails = len([w for w in words if len(w) > 1 and all(not (c.isalnum() or c == "_" or c.isspace()) for c in w[-2:])])
+    bare = len([w for w in words if not any(c.isalpha() for c in w)])
+    distinct = len({*words})
+    return (
+        rule(False, n >= 20), rule(symbols > 0.15 * n, symbols <= 0.02 * n), rule(same > 0.2 * n, same <= 0.02 * n), rule(upper > 0.5 and n > 3, upper < 0.2 if letters else False),
+        rule(n >= 50 and distinct < 0.2 * n, distinct > 0.4 * n or n < 50), rule(n >= 20 and not ended, ended >= 0.5 * len(lines)), rule(chars > 14 * n, 2 * n <= chars <= 10 * n),
+        rule(len(letters) < 0.7 * chars, len(letters) > 0.85 * chars), rule(tails > 0.15 * n, tails <= 0.03 * n), rule(bare > 0.15 * n, bare <= 0.05 * n),
+    )
+
+
+def test_votes_and_scores_equal_plain_ones(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(200).collect()
+    extra = ["", "END." + " " * 60, "A B C D!!", "x" * 3000 + "!", "ÀÉ é 12 34 {} __ ..", " \n\t ", "no end\n" * 30, "!! ?? a"]
+    texts = [r.text or "" for r in rows] + extra
+    votes = M.voter()
+    assert [votes(t, M._WORDS(t)) for t in texts] == [plain_votes(t) for t in texts]
+    rng = np.random.default_rng(1)
+    model = M.Model({}, np.zeros((2, 10, 3)), 0.5, rng.normal(size=M.BUCKETS), 0.25)
+    score = model.scorer()
+    for t in texts:
+        want = 1 / (1 + np.exp(-(sum(model.weights[b] * x for b, x in M.vector(t).items()) + 0.25)))
+        assert abs(score(M._WORDS(t)) - want) < 1e-9
+    docs = spark.createDataFrame([(i, t, "mine", "too") for i, t in enumerate(texts)], "doc_id long, text string, row_id string, code string")
+    codes = {r.doc_id: r.code for r in M.labelled(docs).collect()}
+    assert codes == {i: M.vote_code(plain_votes(t)) for i, t in enumerate(texts)}
+    assert M.quality_rows(docs).count() == len(texts)
+
+
+def test_sparse_fit_equals_dense_steps():
+    rng = np.random.default_rng(3)
+    dense = rng.random((60, 40)) * (rng.random((60, 40)) < 0.2)
+    x = M.Sparse([(np.flatnonzero(r).tolist(), r[r > 0].tolist()) for r in dense], 40)
+    w, e = rng.normal(size=40), rng.normal(size=60)
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.turned_times(e), dense.T @ e)
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (3, "a plain sentence. " * 3000, 0.1), (3, "a plain sentence. " * 3000, 0.1), (None, "x", 0.1)], "doc_id long, text string, score double")
     rows = M.quality_rows(docs).collect()
