@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import quality_model as M
 from lectern.llm import toxicity as X
+from lectern.llm.transducers import Trie, best_path
 
 DATA = "/root/testdata/sf0.01"
 
@@ -84,17 +85,80 @@ def test_quality_edge_cases(spark):
     assert M.quality_rows(docs.limit(0)).count() == 0
 
 
+def reading(text, insults={"idiot$": 2.0, "scum": 1.0}):  # noqa: B006
+    return X.Grammar(insults).clause(text.lower().split())
+
+
 def test_grammar_contexts():
+    plain, negated, reported, aimed, threat = range(5)
+    only = lambda i, w: tuple(w if k == i else 0.0 for k in range(5))
+    assert reading("what an idiot") == only(plain, 2.0)
+    assert reading("you are an idiot") == reading("an idiot like you") == only(aimed, 2.5)
+    assert reading("what an idiot and so I left without you") == only(plain, 2.0)  # too far behind
+    assert reading("not an idiot") == only(negated, 0.5) and reading("not one of those poor idiot")[plain] == 2.0
+    assert reading("somebody said idiot") == only(reported, 1.0)
+    assert reading("idiot and scumbag") == only(plain, 3.0) and not any(reading("idiotic"))
     g = X.Grammar({"idiot$": 2.0, "scum": 1.0})
-    run = lambda t: g.clause(ws := t.split(), [g.weight(w) for w in ws])
-    assert run("what an idiot") == (2.0, 0, 0, 0)
-    assert run("you are an idiot") == (0, 2.0, 0, 0)
-    assert run("not an idiot")[X.NEGATED] == 2.0 and run("not one of those poor idiot")[X.PLAIN] == 2.0
-    assert run("somebody said idiot")[X.REPORTED] == 2.0
-    assert g.weight("scumbag") == 1.0 and g.weight("idiotic") == 0.0 and g.weight("kill") == 1.0
+    assert g.symbol("scumbag") == ("insult", 1.0) and g.symbol("kill") == ("violent", 1.0) and g.symbol("idiotic") == ("word", 1.0)
     assert not any(g.features(None)) and not any(g.features("nothing here"))
 
 
+def test_threats_take_several_words_in_order():
+    for text in ("I will kill you", "I'll soon kill all of you", "kill them all", "ich werde dich töten", "je vais te tuer", "voy a matarte", "you deserve to die", "I hope they all die"):
+        assert reading(text)[X.THREAT] == X.MENACE, text
+    for text in ("how to kill a process on linux", "he asked them to shoot the scene", "you kill time", "they will kill the process", "I will call you", "the plants will die", "you will see how I shoot photos"):
+        assert not any(reading(text)), text
+    assert reading("I will not kill you")[X.NEGATED] and not reading("I will not kill you")[X.THREAT]
+    assert reading("he said I will kill you")[X.REPORTED] and not reading("he said I will kill you")[X.THREAT]
+
+
+def all_paths(machine, symbols):
+    """(written symbols, summed weights, reached states) of every path, without composition."""
+    paths = [((), (), 0)]
+    for s in symbols:
+        paths = [((*out, o), (*ws, w), t) for out, ws, at in paths for o, w, t in machine.arcs[at].get(s, ())]
+    return [(out, ws) for out, ws, at in paths if at in machine.final]
+
+
+def test_composed_machine_equals_its_parts_one_after_the_other():
+    rng = random.Random(8)
+    first, second, third = X.negation(), X.reported_speech(), X.patterns()
+    for _ in range(300):
+        symbols = [(t, rng.choice((1.0, 2.0, 3.5))) for t in rng.choices(X.TAGS, weights=[3, 3, *[1] * (len(X.TAGS) - 2)], k=rng.randrange(0, 8))]
+        best = (-1.0, ())
+        for marked, _ in all_paths(first, [t for t, _ in symbols]):
+            for told, _ in all_paths(second, marked):
+                for out, factors in all_paths(third, told):
+                    sums = [0.0] * 5
+                    for o, f, (_, w) in zip(out, factors, symbols):
+                        if o is not None:
+                            sums[o] += f * w
+                    best = max(best, (round(sum(sums), 9), tuple(sums[::-1])))
+        assert best_path(X.composed(), symbols, 5) == best[1][::-1], symbols
+
+
+def test_trie_equals_prefix_lookup():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abc", k=rng.randrange(1, 7)))
+    for _ in range(50):
+        entries = {word() + rng.choice(("", "$")): rng.random() for _ in range(12)}
+        trie = Trie(entries)
+        for _ in range(40):
+            w = word()
+            assert trie.weight(w) == max([entries.get(f"{w}$", 0.0), *(entries.get(w[:k], 0.0) for k in range(1, len(w)))])
+
+
+def test_long_toxic_text_and_repeated_ids(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choices(["lorem", "ipsum", "dolor"], k=20)) + (" moron." * 2 if i % 2 else "."), "x", "y") for i in range(200)]
+    docs += [(1, "other text", "x", "y"), (900, "lorem. " * 200_000 + "you moron. moron. moron", "x", "y")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, half string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = [sorted(tuple(r) for r in X.toxicity_rows(d, labels).collect()) for d in (docs, docs.repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == 202
+    assert [r[3] for r in got[0] if r[0] == 900] == [1]
+
+
 def test_held_out_accuracy(spark):
     rng = random.Random(6)
     clean = [f"{a}{b}" for a in ("lor", "dol", "sit", "amet", "kon") for b in range(60)]
