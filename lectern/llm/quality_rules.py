@@ -7,7 +7,7 @@ again. All of it is narrow but for the ablation counts, which aggregate the dist
 
 Defined cases: a null text counts as empty (no words, so ``few_words`` fails); a text of any length is
 measured whole; repeated rows give repeated ledger rows; an empty table gives an empty ledger; extra
-columns are ignored.
+columns are ignored or, in ``filter_documents``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,19 +101,15 @@ def failure_bits():
     return bits
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Measurements and ``failed_bits`` of every row; ``keep`` names further columns to carry along."""
-    columns = [F.col(id_column), text_of(text_column).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))]
-    types = dict(docs.dtypes)
-    source = docs.select(*columns)
-    schema = ", ".join([f"`{id_column}` {types[id_column]}", *(f"_k{i} {types[c]}" for i, c in enumerate(keep)), MEASURES])
+def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Measurements and ``failed_bits`` of every row."""
+    schema = f"`{id_column}` {dict(docs.dtypes)[id_column]}, {MEASURES}"
 
     def make():
         measure = measurer()
-        return lambda key, text, *rest: (key, *rest, *measure(text))
+        return lambda key, text: (key, *measure(text))
 
-    measured = map_rows(source, make, schema).withColumn("failed_bits", failure_bits())
-    return measured.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return map_rows(docs.select(F.col(id_column), text_of(text_column).alias("_text")), make, schema).withColumn("failed_bits", failure_bits())
 
 
 def apply_policy(ledger: DataFrame, policy: str = "v1") -> DataFrame:
@@ -143,10 +139,23 @@ def quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``.
 
-    The text travels through the measuring step, so no join brings it back.
+    A row travels through the measuring step whole, so no join brings its text back.
     """
-    kept = apply_policy(ledger(docs, keep=tuple(c for c in docs.columns if c != "doc_id")), policy).filter("kept")
-    return kept.select(*docs.columns)
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    source = docs.select(*(F.col(c).alias(p) for c, p in zip(docs.columns, places)), text_of().alias("text"))
+    schema = ", ".join([*(f"{p} {t}" for p, (_, t) in zip(places, docs.dtypes)), MEASURES])
+
+    def make():
+        measure = measurer()
+        return lambda *row: (*row[:-1], *measure(row[-1]))
+
+    rows = apply_policy(map_rows(source, make, schema).withColumn("failed_bits", failure_bits()), policy)
+    return rows.filter("kept").select(*(F.col(p).alias(c) for c, p in zip(docs.columns, places)))
+
+
+def ablation_rows(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """What each rule of a policy does to a table, from one ledger."""
+    return ablation(ledger(docs), policy)
 
 
 ORACLE = r"""
