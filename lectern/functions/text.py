@@ -100,3 +100,27 @@ def normalize_speaker(raw: Column) -> Column:
         .when((n == 2) & (first == last), first)
         .otherwise(F.array_join(names, " "))
     )
+
+
+#: Pieces whose lengths are summed directly; longer runs go by sums of such chunks.
+CHUNK = 64
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body looks at it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def with_starts(pieces: Column) -> Column:
+    """``array<struct<piece, start>>``: where each piece starts if all are laid end to end, in linear time."""
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def bases(sizes: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / CHUNK).cast("int")), lambda c: add(F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK))))
+        return F.aggregate(chunks, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    def placed(ps: Column, sizes: Column, base: Column) -> Column:
+        start = lambda i: F.get(base, F.floor(i / CHUNK).cast("int")) + add(F.slice(sizes, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK))
+        return F.transform(ps, lambda p, i: F.struct(p.alias("piece"), start(i).alias("start")))
+
+    return let(pieces, lambda ps: let(F.transform(ps, lambda p: F.length(p)), lambda sizes: let(bases(sizes), lambda base: placed(ps, sizes, base))))

@@ -48,24 +48,21 @@ def any_of(patterns: tuple[str, ...]) -> str:
 def segments(turns: DataFrame) -> DataFrame:
     """Turns cut before every discourse marker; a segment's span covers its unstripped piece."""
     marker = rf"(?i)(?U)(?=\b(?:{'|'.join(SEGMENT_MARKERS)})\b)"
-    pieces = F.split("text", marker)
-    each = turns.select("transcript_id", "turn_index", "speaker", "span", F.posexplode(pieces).alias("position", "piece"), pieces.alias("pieces"))
-    before = F.aggregate(F.slice("pieces", 1, F.col("position")), F.lit(0), lambda a, x: a + F.length(x))
-    each = each.withColumn("start", F.col("span.start") + before).withColumn("segment", T.strip(F.col("piece")))
-    alone = F.size("pieces") == 1
-    each = each.filter((F.col("segment") != "") | alone)
-    end = F.when(alone, F.col("span.end")).otherwise(F.col("start") + F.length("piece"))
+    pieces = T.with_starts(F.split("text", marker))
+    each = turns.select("transcript_id", "turn_index", "speaker", "span", F.posexplode(pieces).alias("position", "p"), (F.size(F.split("text", marker)) == 1).alias("alone"))
+    each = each.withColumn("piece", F.col("p.piece")).withColumn("start", F.col("span.start") + F.col("p.start")).withColumn("segment", T.strip(F.col("piece")))
+    each = each.filter((F.col("segment") != "") | F.col("alone"))
+    end = F.when(F.col("alone"), F.col("span.end")).otherwise(F.col("start") + F.length("piece"))
     return each.select("transcript_id", "turn_index", "speaker", F.col("position").alias("segment_index"), F.col("segment").alias("text"), F.struct(F.col("start").cast("int").alias("start"), end.cast("int").alias("end")).alias("span"))
 
 
 def sentences(segmented: DataFrame) -> DataFrame:
     """Sentences of the segments that are long enough, with spans counted from the segment's start."""
-    pieces = F.split("text", r"(?U)(?<=[.!?])(?=\s+[A-Z])")
+    pieces = T.with_starts(F.split("text", r"(?U)(?<=[.!?])(?=\s+[A-Z])"))
     rows = segmented.filter(F.length("text") > MIN_SEGMENT)
-    each = rows.select("transcript_id", "turn_index", "speaker", "segment_index", "span", F.posexplode(pieces).alias("sentence_index", "piece"), pieces.alias("pieces"))
-    before = F.aggregate(F.slice("pieces", 1, F.col("sentence_index")), F.lit(0), lambda a, x: a + F.length(x))
+    each = rows.select("transcript_id", "turn_index", "speaker", "segment_index", "span", F.posexplode(pieces).alias("sentence_index", "p")).withColumn("piece", F.col("p.piece"))
     lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
-    each = each.withColumn("start", F.col("span.start") + before + lead).withColumn("sentence", T.strip(F.col("piece"))).filter("sentence <> ''")
+    each = each.withColumn("start", F.col("span.start") + F.col("p.start") + lead).withColumn("sentence", T.strip(F.col("piece"))).filter("sentence <> ''")
     span = F.struct(F.col("start").cast("int").alias("start"), (F.col("start") + F.length("sentence")).cast("int").alias("end"))
     return each.select("transcript_id", "turn_index", "speaker", "segment_index", "sentence_index", F.col("sentence").alias("text"), span.alias("span"))
 
@@ -112,10 +109,11 @@ def with_answers(found: DataFrame, answers: DataFrame, budget: int = 100) -> Dat
     """Types from an answer table ``text, claim_type, confidence, reasoning`` override the rules.
 
     Answers count against the budget of their transcript in claim order; an unknown type counts, but
-    the rules' result stays.
+    the rules' result stays. Of a text's several answers the least by type, confidence and reasoning counts.
     """
     known = answers.select(F.col("text").alias("_text"), F.lower("claim_type").alias("_type"), F.col("confidence").alias("_confidence"), F.col("reasoning").alias("_reasoning"))
-    rows = found.join(known.dropDuplicates(["_text"]), F.col("text") == F.col("_text"), "left")
+    one = known.groupBy("_text").agg(F.min(F.struct("_type", "_confidence", "_reasoning")).alias("_a")).select("_text", "_a.*")
+    rows = found.join(one, F.col("text") == F.col("_text"), "left")
     nth = F.count("_text").over(Window.partitionBy("transcript_id").orderBy(*claim_order()).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_nth", nth).withColumn("llm_used", F.col("_text").isNotNull() & (F.col("_nth") <= budget))
     use = F.col("llm_used") & F.col("_type").isin(*CLAIM_TYPES)

@@ -1,20 +1,26 @@
 """Entities and references.
 
-Salience needs no simulated stack: an entity's place follows from its last boost. A speaker registered
-in turn u has key (u, 0, 0); a claim that comes i-th in turn u has (u, 1, -i) once the turn is over,
-and comes before everything else, later ones first, while the turn lasts.
+Salience is a short running list. A speaker comes to its head when a turn begins; a turn's claims come
+before everything else, later ones first, while the turn lasts, and go to the list's head in their order
+once it is over. Only the ``SALIENT`` most recent entities have a rank that counts, and people are
+candidates however long ago they spoke, so no more than these are kept while a transcript's rows stream
+by in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.claims import path
 
-# Reference words and scores.
+# Reference words, scores and, below, the reasons that go with them.
 PRONOUNS = ("he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs", "it", "its")
 DEMONSTRATIVES = ("this", "that", "these", "those")
 COMMITTED, TENTATIVE, SALIENT, RANKED, LISTED = 0.85, 0.5, 10, 5, 5
@@ -24,11 +30,9 @@ RESOLUTION_PATH = ("DecomposeTranscript", "ProcessTurn", "DetectReferences", "Re
 def references(turns: DataFrame) -> DataFrame:
     """Pronouns and demonstratives of every turn with their spans."""
     words = "|".join((*PRONOUNS, *DEMONSTRATIVES))
-    pieces = F.split("text", rf"(?i)(?U)(?=\b(?:{words})\b)")
-    rows = turns.filter(F.length("text") > 0)
-    each = rows.select("transcript_id", "turn_index", "speaker", "span", F.posexplode(pieces).alias("p", "piece"), pieces.alias("pieces"))
-    before = F.aggregate(F.slice("pieces", 1, F.col("p")), F.lit(0), lambda a, x: a + F.length(x))
-    each = each.withColumn("surface", F.regexp_extract("piece", rf"(?i)(?U)^({words})\b", 1)).withColumn("start", (F.col("span.start") + before).cast("int")).filter("surface <> ''")
+    pieces = T.with_starts(F.split("text", rf"(?i)(?U)(?=\b(?:{words})\b)"))
+    each = turns.filter(F.length("text") > 0).select("transcript_id", "turn_index", "speaker", "span", F.explode(pieces).alias("p"))
+    each = each.withColumn("surface", F.regexp_extract("p.piece", rf"(?i)(?U)^({words})\b", 1)).withColumn("start", (F.col("span.start") + F.col("p.start")).cast("int")).filter("surface <> ''")
     end = (F.col("start") + F.length("surface")).alias("end")
     kind = F.when(F.lower("surface").isin(*PRONOUNS), "PRONOUN").otherwise("DEMONSTRATIVE")
     ref_id = F.concat_ws("_", F.lit("ref"), F.col("start"), F.col("start") + F.length("surface"))
@@ -55,23 +59,54 @@ def entities(turns: DataFrame, claims: DataFrame) -> DataFrame:
     return rows.select("transcript_id", "entity_id", "f.canonical", "f.entity_type", F.col("f.span").alias("first_mention_span"), F.col("f.speaker").alias("introducing_speaker"), F.col("f.order.turn_index").alias("first_turn"), F.col("f.order").alias("registered"), spans.alias("mention_spans"), "aliases")
 
 
+def _ranked(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of boosts and places in order of transcript, turn and position: the entities known at each place."""
+    at, turn, recent, people, now, silent, out = None, None, [], {}, {}, False, []
+
+    def turn_over():
+        own = sorted(now, key=now.get, reverse=silent and turn == 0)
+        recent[:] = [*own, *(e for e in recent if e not in now)][:SALIENT]
+        now.clear()
+
+    for batch in batches:
+        for key, place, kind, entity, position, quiet, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at:
+                at, turn, recent, people, now, silent = key, place, [], {}, {}, quiet
+            elif place != turn:
+                turn_over()
+                turn = place
+            if asked:
+                order = [*sorted(now, key=now.get, reverse=True), *(e for e in recent if e not in now)][:SALIENT]
+                out += [(at, place, e, r) for r, e in enumerate(order)]
+                out += [(at, place, e, SALIENT) for e in people if e not in order]
+            elif kind == 0:
+                recent[:] = [entity, *(e for e in recent if e != entity)][:SALIENT]
+                people[entity] = True
+            else:
+                now[entity] = position
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out = []
+
+
 def salience(turns: DataFrame, claims: DataFrame) -> DataFrame:
-    """(transcript_id, turn_index, entity_id, rank): order of the entities known when a turn's references are read."""
+    """(transcript_id, turn_index, entity_id, rank): entities known when a turn's references are read.
+
+    Ranks from ``SALIENT`` on aren't told apart: people who come later have that rank, claims aren't listed.
+    """
     # A claim that a turn repeats counts where it came last.
-    made = mentions(turns, claims).groupBy("transcript_id", "turn_index", "kind", "entity_id").agg(F.max("position").alias("position"))
+    boosts = mentions(turns, claims).groupBy("transcript_id", "turn_index", "kind", "entity_id").agg(F.max("position").cast("int").alias("position"))
     silent = turns.groupBy("transcript_id").agg(F.min_by((F.coalesce("speaker", F.lit(T.UNKNOWN)) == T.UNKNOWN), "turn_index").alias("silent"))
-    made = made.join(silent, "transcript_id")
-    kept = F.col("silent") & (F.col("turn_index") == 0)
-    own = F.struct(F.lit(1).alias("now"), F.col("turn_index").alias("u"), F.lit(1).alias("k"), F.col("position").alias("i"))
-    past = F.struct(F.lit(0).alias("now"), F.col("turn_index").alias("u"), F.col("kind").alias("k"), F.when(kept | (F.col("kind") == 0), F.col("position")).otherwise(-F.col("position")).alias("i"))
-    boosts = made.select("transcript_id", F.col("turn_index").alias("boosted"), "entity_id", "kind", own.alias("own"), past.alias("past"))
-    # Only turns that hold a reference need an order.
+    # Only turns that hold a reference need an order; they are asked for after their own boosts.
     places = references(turns).select("transcript_id", "turn_index").distinct()
-    met = places.join(boosts, "transcript_id").filter("boosted <= turn_index")
-    key = F.when((F.col("boosted") == F.col("turn_index")) & (F.col("kind") == 1), F.col("own")).otherwise(F.col("past"))
-    last = met.groupBy("transcript_id", "turn_index", "entity_id").agg(F.max(key).alias("key"))
-    order = Window.partitionBy("transcript_id", "turn_index").orderBy(F.desc("key"))
-    return last.withColumn("rank", F.row_number().over(order) - 1).select("transcript_id", "turn_index", "entity_id", "rank")
+    asked = places.select("transcript_id", "turn_index", F.lit(2).alias("kind"), F.lit("").alias("entity_id"), F.lit(0).alias("position"))
+    order = ["transcript_id", "turn_index", "kind", "position", "entity_id"]
+    rows = boosts.select(*asked.columns).unionByName(asked).join(silent, "transcript_id").withColumn("asked", F.col("kind") == 2)
+    rows = rows.select("transcript_id", "turn_index", "kind", "entity_id", "position", "silent", "asked").repartition("transcript_id").sortWithinPartitions(*order)
+    kinds = dict(turns.dtypes)
+    shape = turns.sparkSession.createDataFrame([], f"transcript_id {kinds['transcript_id']}, turn_index {kinds['turn_index']}, entity_id string, rank int").schema
+    schema = to_arrow_schema(shape)
+    return rows.mapInArrow(lambda batches: _ranked(batches, schema), shape)
 
 
 def scored(turns: DataFrame, claims: DataFrame) -> DataFrame:
@@ -104,8 +139,8 @@ def resolutions(turns: DataFrame, claims: DataFrame) -> DataFrame:
     rows = scored(turns, claims)
     best = F.sort_array(F.collect_list(F.struct((-F.round("score", 12)).alias("o"), "place", "entity_id", "score", "reasons", "canonical")))
     top = rows.groupBy("transcript_id", "turn_index", "ref_id").agg(F.slice(best, 1, LISTED).alias("best"))
-    anyone = salience(turns, claims).select("transcript_id", "turn_index").distinct().withColumn("anyone", F.lit(True))
-    all_refs = references(turns).join(top, ["transcript_id", "turn_index", "ref_id"], "left").join(anyone, ["transcript_id", "turn_index"], "left")
+    first = mentions(turns, claims).groupBy("transcript_id").agg(F.min("turn_index").alias("first"))
+    all_refs = references(turns).join(top, ["transcript_id", "turn_index", "ref_id"], "left").join(first, "transcript_id", "left").withColumn("anyone", F.col("first") <= F.col("turn_index"))
     win = F.get("best", F.lit(0))
     score = F.coalesce(win["score"], F.lit(0.0))
     status = F.when(win.isNull(), "UNRESOLVED").when(score >= COMMITTED - 1e-12, "COMMITTED").when(score >= TENTATIVE - 1e-12, "TENTATIVE").otherwise("AMBIGUOUS")

@@ -1,4 +1,4 @@
-"""Fact checks, budgets, diagnostics and run statistics."""
+"""Fact checks, budgets and run statistics."""
 
 from __future__ import annotations
 
@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions import text as T
 from lectern.operators import claims as C
-from lectern.operators import coreference as R
+from lectern.operators import tasks as K
 
+# The states of a check.
 STATUSES = ("verified", "unverified", "disputed", "false", "no_data")
 FACT_PATH = ("DecomposeTranscript", "ProcessTurn", "FactCheckTurnClaims", "FactCheckClaim")
 GRAM = 3
+#: Grams of response keys that go to every task; with more, the texts' grams meet them in a join.
+KNOWN_GRAMS = 10_000
 
 
 @dataclass(frozen=True)
 class Budgets:
-    """Limits per transcript. ``strict`` cuts children beyond ``max_children``; otherwise they are kept."""
+    """Limits per transcript. With ``strict`` they act: tasks beyond them, and what those would find, are cut."""
 
     max_tasks: int = 1000
+    max_depth: int = 12
     max_children: int = 50
     max_llm_calls: int = 100
     fact_check_budget: int = 100
@@ -29,19 +32,27 @@ class Budgets:
     strict: bool = False
 
 
-def first_responses(checked: DataFrame, responses: DataFrame) -> DataFrame:
+def first_responses(checked: DataFrame, responses: DataFrame, known: int = KNOWN_GRAMS) -> DataFrame:
     """The first response whose key a claim's text contains, case aside; no match leaves nulls.
 
-    A containment join by grams: a key is looked up under its first three characters among the grams
-    of each text, then compared in full. Neither side is broadcast or multiplied out.
+    A containment join by grams: a key is looked up under its first ``GRAM`` characters, or all if it is
+    shorter, among the grams of each text, then compared in full. Of a text's grams only those that some
+    key has are listed, which is told from a checked number of them, or from a join on grams alone.
     """
+    keys = responses.select(F.lower("key").alias("_key"), "key_order", *(F.col(c) for c in ("status", "confidence", "source", "sources", "urls"))).filter("_key is not null")
+    keys = keys.withColumn("gram", F.substring("_key", 1, GRAM))
     low = F.lower("text")
     grams = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - n + 1)), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    texts = checked.select("transcript_id", "claim_id", low.alias("low"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *(grams(n) for n in range(1, GRAM + 1))))).alias("gram"))
-    keys = responses.select(F.lower("key").alias("_key"), "key_order", *(F.col(c) for c in ("status", "confidence", "source", "sources", "urls"))).withColumn("gram", F.substring("_key", 1, GRAM))
-    met = texts.join(keys, "gram").filter(F.contains("low", F.col("_key")))
+    listed = F.array_distinct(F.concat(F.array(F.lit("")), *(grams(n) for n in range(1, GRAM + 1))))
+    held = [r.gram for r in keys.select("gram").distinct().limit(known + 1).collect()]
+    own = ["transcript_id", "claim_id"]
+    if len(held) <= known:
+        some = F.array(*map(F.lit, held)) if held else F.array().cast("array<string>")
+        met = checked.select(*own, low.alias("low"), F.explode(F.array_intersect(some, listed)).alias("gram")).join(keys, "gram")
+    else:
+        met = checked.select(*own, F.explode(listed).alias("gram")).join(keys, "gram").join(checked.select(*own, low.alias("low")), own)
     answer = F.struct("status", "confidence", "source", "sources", "urls")
-    return met.groupBy("transcript_id", "claim_id").agg(F.min_by(answer, "key_order").alias("response"))
+    return met.filter(F.contains("low", F.col("_key"))).groupBy(*own).agg(F.min_by(answer, F.struct("key_order", "_key")).alias("response"))
 
 
 def checkable_in_order(claims: DataFrame) -> DataFrame:
@@ -63,75 +74,19 @@ def fact_checks(claims: DataFrame, responses: DataFrame, budget: int = 100) -> D
     )
 
 
-def diagnostics(turns: DataFrame, claims: DataFrame, fact_check_budget: int | None = None) -> DataFrame:
-    """What no method applies to: unknown speakers, short segments, short claims, checks beyond the budget."""
-    row = lambda df, task, what: df.select("transcript_id", "turn_index", F.lit("NO_APPLICABLE_METHOD").alias("diagnostic_type"), F.lit(task).alias("task_type"), F.lit("error").alias("severity"), F.concat(F.lit(f"No applicable method for {task}: "), what).alias("message"))
-    cut = C.segments(turns)
-    short = C.candidates(C.sentences(cut)).filter(F.length("text") <= C.MIN_CLAIM)
-    parts = [
-        row(turns.filter(F.coalesce("speaker", F.lit(T.UNKNOWN)) == T.UNKNOWN), "REGISTER_SPEAKER_ENTITY", F.lit("unknown speaker")),
-        row(cut.filter(F.length("text") <= C.MIN_SEGMENT), "EXTRACT_CLAIMS_FROM_SEGMENT", F.col("text")),
-        row(short, "EXTRACT_ATOMIC_CLAIM", F.col("text")),
-    ]
-    if fact_check_budget is not None:
-        parts.append(row(checkable_in_order(claims).filter(F.col("nth") > fact_check_budget), "FACT_CHECK_CLAIM", F.col("claim_id")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def stats(turns: DataFrame, claims: DataFrame, budgets: Budgets = Budgets(), fact_check_rows: DataFrame | None = None) -> DataFrame:
-    """Counts per transcript: tasks, claims, frames, fact checks, failed compounds, success."""
-    known = F.coalesce("speaker", F.lit(T.UNKNOWN)) != T.UNKNOWN
-    base = 6 + known.cast("int") + (F.col("turn_index") > 0).cast("int") + (F.length("text") > 0).cast("int")
-    per = [turns.groupBy("transcript_id").agg((F.sum(base) + 1).alias("tasks_executed"), F.count("*").alias("frames_count"), F.lit(0).cast("long").alias("backtracks"))]
-    key = ["transcript_id", "turn_index", "segment_index"]
-    long_segments = C.segments(turns).filter(F.length("text") > C.MIN_SEGMENT).select(*key)
-    spoken = C.candidates(C.sentences(C.segments(turns))).groupBy(*key).agg(F.count("*").alias("all"), F.sum((F.length("text") > C.MIN_CLAIM).cast("int")).alias("long"))
-    in_segments = long_segments.join(spoken, key, "left").groupBy("transcript_id").agg((F.count("*") + F.coalesce(F.sum("long"), F.lit(0))).alias("n"), F.sum(F.col("all").isNull().cast("int")).alias("b"))
-    refs = R.references(turns).groupBy("transcript_id", "turn_index").agg(F.count("*").alias("r"))
-    in_refs = turns.filter(F.length("text") > 0).select("transcript_id", "turn_index").join(refs, ["transcript_id", "turn_index"], "left").groupBy("transcript_id").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("n"), F.sum(F.col("r").isNull().cast("int")).alias("b"))
-    counted = claims.groupBy("transcript_id").agg(F.count("*").alias("claims_count"), *([F.sum(F.col("llm_used").cast("int")).alias("llm_calls")] if "llm_used" in claims.columns else []))
-    rows = per[0].join(in_segments.withColumnsRenamed({"n": "n1", "b": "b1"}), "transcript_id", "left").join(in_refs.withColumnsRenamed({"n": "n2", "b": "b2"}), "transcript_id", "left").join(counted, "transcript_id", "left")
-    checked = None if fact_check_rows is None else fact_check_rows.groupBy("transcript_id").agg(F.count("*").alias("fact_checks_count"))
-    rows = rows.withColumn("fact_checks_count", F.lit(0).cast("long")) if checked is None else rows.join(checked, "transcript_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    tasks = zero("tasks_executed") + zero("n1") + zero("n2") + zero("fact_checks_count")
-    return rows.select(
-        "transcript_id", tasks.alias("tasks_executed"), zero("claims_count").alias("claims_count"), "frames_count", zero("fact_checks_count").alias("fact_checks_count"),
-        (zero("llm_calls") if "llm_used" in claims.columns else F.lit(0).cast("long")).alias("llm_calls"), (zero("b1") + zero("b2")).alias("backtracks"), (tasks <= budgets.max_tasks).alias("success"),
-    )
-
-
-def limited_turns(turns: DataFrame, budgets: Budgets) -> DataFrame:
-    return turns.filter(F.col("turn_index") < budgets.max_children) if budgets.strict else turns
+def stats(cut: DataFrame, turns: DataFrame, claims: DataFrame, budgets: Budgets = Budgets(), fact_check_rows: DataFrame | None = None) -> DataFrame:
+    """Counts per transcript: tasks, claims, frames, fact checks, calls, failed compounds, success.
 
-
-def limited_claims(claims: DataFrame, budgets: Budgets) -> DataFrame:
-    """In strict mode, only the first claims of each segment; ties can't occur, positions are unique."""
-    if not budgets.strict:
-        return claims
-    nth = F.row_number().over(Window.partitionBy("transcript_id", "turn_index", "segment_index").orderBy("sentence_index"))
-    return claims.withColumn("_nth", nth).filter(F.col("_nth") <= budgets.max_children).drop("_nth")
-
-
-def trace(turns: DataFrame, claims: DataFrame) -> DataFrame:
-    """Events in depth-first order, without clocks: decompositions and executed operators by turn."""
-    event = lambda df, kind, method, depth, *order: df.select("transcript_id", "turn_index", F.lit(kind).alias("event_type"), F.lit(method).alias("method_name"), F.lit(depth).alias("depth"), F.array(*(F.coalesce(o.cast("int"), F.lit(0)) for o in order)).alias("order"))
-    zero = F.lit(0)
-    parts = [
-        event(turns, "TASK_DECOMPOSED", "ProcessTurn", 1, zero, zero, zero),
-        event(turns, "OPERATOR_EXECUTED", "BuildArgumentFrame", 2, F.lit(1), zero, zero),
-        event(C.segments(turns).filter(F.length("text") > C.MIN_SEGMENT), "METHOD_SELECTED", "ExtractClaimsFromSegment", 2, F.lit(2), F.col("segment_index"), zero),
-        event(claims, "OPERATOR_EXECUTED", "ExtractAtomicClaim", 3, F.lit(2), F.col("segment_index"), F.col("sentence_index") + 1),
-        event(R.references(turns), "OPERATOR_EXECUTED", "ResolveReference", 3, F.lit(3), F.col("span.start"), zero),
-        event(turns, "OPERATOR_EXECUTED", "FinalizeFrame", 2, F.lit(4), zero, zero),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("seq", F.row_number().over(Window.partitionBy("transcript_id").orderBy("turn_index", "order", "method_name")))
+    ``cut`` are the tasks of ``tasks.within``; without ``strict`` all tasks count and only success knows the limit.
+    """
+    ran = K.stats(cut if budgets.strict else cut.withColumn("kept", F.lit(True)))
+    llm = [F.sum(F.col("llm_used").cast("int")).alias("llm_calls")] if "llm_used" in claims.columns else []
+    counted = [(turns, "frames_count", []), (claims, "claims_count", llm)] + ([] if fact_check_rows is None else [(fact_check_rows, "fact_checks_count", [])])
+    rows = ran
+    for part, name, more in counted:
+        rows = rows.join(part.groupBy("transcript_id").agg(F.count("*").alias(name), *more), "transcript_id", "left")
+    zero = lambda c: (F.coalesce(c, F.lit(0)) if c in rows.columns else F.lit(0)).cast("long").alias(c)
+    return rows.select("transcript_id", "tasks_executed", zero("claims_count"), zero("frames_count"), zero("fact_checks_count"), zero("llm_calls"), "backtracks", "success")
 
 
 def verification_score(credibility, evidence, consensus, recency):
@@ -139,3 +94,24 @@ def verification_score(credibility, evidence, consensus, recency):
     total = 0.4 * credibility + 0.3 * evidence + 0.2 * consensus + 0.1 * recency
     band = F.when(total >= 0.9, "verified true").when(total >= 0.7, "likely true").when(total >= 0.4, "mixed").when(total >= 0.2, "likely false").otherwise("verified false")
     return F.struct(total.alias("score"), band.alias("band"))
+
+
+def answers_by(claims: DataFrame, client, answer: str, schema: str) -> DataFrame:
+    """Answers of a callable client for the distinct texts of claims, as a table.
+
+    ``client()`` makes, once a task, a function from a text to a tuple for ``schema`` or None; its first
+    column is named ``answer`` and holds the text.
+    """
+    from pyspark.sql.types import StructType
+
+    shape: StructType = claims.sparkSession.createDataFrame([], f"{answer} string, {schema}").schema
+
+    def ask(batches):
+        import pandas as pd
+
+        call = client()
+        for batch in batches:
+            got = [(t, *a) for t in batch["text"] if (a := call(t)) is not None]
+            yield pd.DataFrame(got, columns=shape.names)
+
+    return claims.select("text").distinct().mapInPandas(ask, shape)

@@ -17,7 +17,7 @@ from lectern.operators import coreference as R
 from lectern.operators import documents as D
 from lectern.operators import facts as K
 from lectern.operators import rhetoric as H
-from lectern.plans import engine
+from lectern.operators import tasks as Q
 from lectern.sources import transcripts as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,25 +252,7 @@ SELECT transcript_id, (per.n + coalesce(long.n, 0) + coalesce(said.n, 0) + coale
 FROM per LEFT JOIN long USING (transcript_id) LEFT JOIN said USING (transcript_id) LEFT JOIN rs USING (transcript_id)""")
 def task_stats(spark, sf_dir):
     turns = conversation_turns(spark, sf_dir)
-    return K.stats(turns, C.claims(turns)).select("transcript_id", "tasks_executed", "claims_count", "frames_count")
-
-
-@query(CHAIN + f"""SELECT task_type, count(*) AS n FROM (SELECT 'REGISTER_SPEAKER_ENTITY' AS task_type FROM turns WHERE speaker = 'UNKNOWN'
-UNION ALL SELECT 'EXTRACT_CLAIMS_FROM_SEGMENT' FROM segments WHERE length(text) <= {C.MIN_SEGMENT} UNION ALL SELECT 'EXTRACT_ATOMIC_CLAIM' FROM candidates WHERE length(text) <= {C.MIN_CLAIM}) GROUP BY ALL""")
-def diagnostics(spark, sf_dir):
-    turns = conversation_turns(spark, sf_dir)
-    return K.diagnostics(turns, C.claims(turns)).groupBy("task_type").agg(F.count("*").alias("n"))
-
-
-@query()
-def trace_events(spark, sf_dir):
-    turns = conversation_turns(spark, sf_dir)
-    return K.trace(turns, C.claims(turns)).select("transcript_id", "seq", "event_type", "method_name", "depth", "turn_index")
-
-
-@query()
-def analysis_documents(spark, sf_dir):
-    return engine.analyze_turns(conversation_turns(spark, sf_dir)).documents()
+    return K.stats(Q.within(Q.tasks(turns), 2**30, 2**30, 2**30), turns, C.claims(turns)).select("transcript_id", "tasks_executed", "claims_count", "frames_count")
 
 
 # Inline debate with labels, markers and figures.
@@ -433,7 +415,7 @@ def document_utterances(spark, sf_dir):
 
 @query()
 def continuous_turns(spark, sf_dir):
-    return S.detected_turns(document_texts(spark, sf_dir)).select("transcript_id", "turn_index", "speaker", F.size("sentences").alias("n_sentences"), "start", "end", "confidence")
+    return S.detected_turns(document_texts(spark, sf_dir)).select("transcript_id", "turn_index", "speaker", F.size("sentences").alias("n_sentences"), "start", "end", F.round("confidence", 6).alias("confidence"))
 
 
 @query(CHAIN + "SELECT transcript_id, turn_index, speaker, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM turns")

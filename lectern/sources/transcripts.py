@@ -14,6 +14,7 @@ from lectern.functions import text as T
 
 CONTINUOUS_CHARS, CONTINUOUS_LINE, MAX_SENTENCES = 5_000, 2_000, 20
 #: A sentence ends before a space and a capital, quote or bracket, but not after a title or an initial.
+# Fixed value, with the titles that don't end a sentence.
 SENTENCE_END = r"(?<=[.!?])(?<!(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Sen|Rep|Gov|Jr|Sr)\.)(?<!(?<!\p{L})\p{Lu}\.) (?=[A-Z\"\[])"
 # What opens a new turn in continuous speech.
 STRONG_START = (
@@ -114,6 +115,7 @@ def sentences(texts: DataFrame) -> DataFrame:
 
 def boundary_confidence(before: Column, sentence: Column) -> Column:
     """How strongly a sentence opens a new turn after another."""
+    # What ends a question, what ends a turn.
     question = r"\?\s*$"
     thanks = r"(?i)(?:Thank you|Thanks)(?:\s+(?:very much|so much))?[.!]?\s*$"
     signal = lambda c, w: F.when(c, F.lit(w)).otherwise(0.0)
@@ -186,11 +188,13 @@ def speech_summary(results: DataFrame, json_column: str = "json") -> DataFrame:
     return results.select("transcript_id", r.alias("r")).select("transcript_id", F.coalesce("r.language_code", F.lit("en")).alias("language"), (F.coalesce("r.audio_duration", F.lit(0.0)) * 1000).cast("long").alias("duration_ms"), F.coalesce(F.size(names), F.lit(0)).alias("speaker_count"), F.coalesce(F.size("r.utterances"), F.lit(0)).alias("utterance_count"))
 
 
-def read_analyses(spark: SparkSession, path: str) -> DataFrame:
-    """Saved analyses; unreadable files are left out."""
-    schema = "id string, timestamp string, input_text string, input_length bigint, analysis_result struct<success:boolean,result:string,error:string>, _bad string"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+ANALYSIS = "id string, timestamp string, input_text string, input_length bigint, analysis_result struct<success:boolean,result:string,error:string>"
+
+
+def read_analyses(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Saved analyses, one JSON object a line, or one a file however it is laid out; unreadable ones are left out."""
+    rows = spark.read.text(path, wholetext=one_per_file).select(F.from_json("value", ANALYSIS).alias("a"))
+    return rows.filter(F.col("a.id").isNotNull()).select("a.*")
 
 
 def recent_analyses(analyses: DataFrame, n: int = 10) -> DataFrame:

@@ -9,7 +9,9 @@ from lectern.operators import claims as C
 from lectern.operators import coreference as R
 from lectern.operators import documents as D
 from lectern.operators import facts as K
+from lectern.operators import reports as P
 from lectern.operators import rhetoric as H
+from lectern.operators import tasks as Q
 from lectern.plans import engine
 from lectern.sources import transcripts as S
 
@@ -141,34 +143,142 @@ def test_fact_check_budget(spark):
     assert out.diagnostics.filter("task_type = 'FACT_CHECK_CLAIM'").count() == 7
 
 
-def test_strict_budget_and_stages(spark):
-    rows = [(1, i, "ANN", "It is what it is.") for i in range(60)]
+def test_stages(spark):
+    rows = [(1, i, "ANN", "It is what it is, data shows.") for i in range(6)]
     turns = S.with_spans(spark.createDataFrame(rows, "transcript_id int, turn_index int, speaker string, text string"))
-    assert engine.analyze_turns(turns, budgets=K.Budgets(strict=True)).frames.count() == 50
-    assert not engine.analyze_turns(turns, budgets=K.Budgets(max_tasks=100)).stats.first().success
     engine.clear_stages()
     engine.stage("slow", "SHORTEN", 5.0)(lambda df: df.limit(1))
     engine.stage("quick", "SHORTEN", 1.0)(lambda df: df.limit(2))
     assert engine.stages_for("SHORTEN") == ["quick", "slow"] and engine.run_stage("SHORTEN", turns).count() == 2
     with pytest.raises(LookupError):
         engine.run_stage("OTHER", turns)
-    engine.clear_stages()
+    engine.stage("early claims", "CLAIMS")(lambda df: df.filter("turn_index < 2"))
+    try:
+        out = engine.analyze_turns(turns)
+        assert out.claims.count() == 2 and out.stats.first().claims_count == 2
+    finally:
+        engine.clear_stages()
+
+
+def test_budgets_act(spark):
+    rows = [(1, i, "ANN", "It is what it is, data shows.") for i in range(60)] + [(2, 0, "BOB", "Data shows this. " * 70)]
+    turns = S.with_spans(spark.createDataFrame(rows, "transcript_id int, turn_index int, speaker string, text string"))
+    free = engine.analyze_turns(turns, budgets=K.Budgets(max_tasks=100))
+    assert free.frames.filter("transcript_id = 1").count() == 60 and {r.transcript_id: r.success for r in free.stats.collect()} == {1: False, 2: False}
+    out = engine.analyze_turns(turns, budgets=K.Budgets(strict=True))
+    assert out.frames.filter("transcript_id = 1").count() == 50
+    assert out.claims.filter("transcript_id = 2").count() == 50 and out.references.filter("transcript_id = 2").count() == 50
+    assert out.trace.filter("event_type = 'BUDGET_TRIM_CHILDREN'").groupBy("transcript_id").count().collect() != []
+    short = engine.analyze_turns(turns, budgets=K.Budgets(strict=True, max_tasks=5))
+    told = {(r.transcript_id, r.diagnostic_type) for r in short.diagnostics.collect()}
+    assert told == {(1, "HARD_BUDGET_EXCEEDED"), (2, "HARD_BUDGET_EXCEEDED")}
+    assert [(r.tasks_executed, r.success) for r in short.stats.collect()] == [(5, False)] * 2 and short.claims.count() == 0
+    assert short.trace.filter("event_type = 'HARD_BUDGET_EXCEEDED'").count() == 2
+
+
+def test_backtrack_limit(spark):
+    turns = S.with_spans(spark.createDataFrame([(1, i, "ANN", "Hello there my friend") for i in range(30)], "transcript_id int, turn_index int, speaker string, text string"))
+    out = engine.analyze_turns(turns)
+    assert out.stats.first().backtracks == 60  # neither claims nor references in any turn
+    assert out.diagnostics.filter("diagnostic_type = 'BACKTRACK_LIMIT' and severity = 'warning'").count() == 41
+    assert Q.events_of(out.trace, "SOFT_BUDGET_BACKTRACKS").count() == 41
+    assert Q.events_of(out.trace, task_type="DETECT_REFERENCES").count() == 30 * 2 + 21
+    events = json.loads(Q.trace_documents(out.trace).first().document)
+    assert events[0] == {"event_type": "METHOD_SELECTED", "task_type": "DECOMPOSE_TRANSCRIPT", "method_name": "DecomposeTranscript", "depth": 0} and len(events) == out.trace.count()
+
+
+def test_task_keys(spark):
+    key = Q.task_key(F.col("kind"), F.col("a"), F.col("b"), F.struct("text"))
+    rows = spark.createDataFrame([(1, 1, "X", 0, 5, "t"), (1, 2, "X", 0, 5, "t"), (1, 3, "X", 0, 6, "t"), (2, 1, "X", 0, 5, "t")], "transcript_id int, seq int, kind string, a int, b int, text string")
+    got = {(r.transcript_id, r.seq): r.skipped for r in Q.deduplicated(rows.withColumn("dedup_key", key)).collect()}
+    assert got == {(1, 1): False, (1, 2): True, (1, 3): False, (2, 1): False}
+
+
+def test_callable_clients(spark):
+    turns = S.with_spans(spark.createDataFrame([(1, 0, "ANN", "Data shows 5 percent. It is a plain fact that he was right.")], "transcript_id int, turn_index int, speaker string, text string"))
+    out = engine.analyze_turns(turns, classifier=lambda: lambda t: ("empirical", 0.9, "told") if "plain" in t else None, checker=lambda: lambda t: ("verified", 0.7, "office", ["a"], ["u"]))
+    assert {r.text: (r.claim_type, r.llm_used) for r in out.claims.collect()} == {"Data shows 5 percent.": ("empirical", False), "It is a plain fact that he was right.": ("empirical", True)}
+    assert [(r.status, r.summary) for r in out.fact_checks.collect()] == [("verified", "office")] * 2
+
+
+def test_many_pieces_have_linear_offsets(spark):
+    text = " ".join(f"Data number {i} shows this." for i in range(700))
+    turns = S.with_spans(spark.createDataFrame([(1, 0, "ANN", text)], "transcript_id int, turn_index int, speaker string, text string"))
+    found = C.sentences(C.segments(turns)).collect()
+    assert len(found) == 700 and all(text[r.span.start : r.span.end] == r.text for r in found)
+    refs = R.references(turns).collect()
+    assert len(refs) == 700 and all(text[r.span.start : r.span.end] == "this" for r in refs)
+
+
+def test_salience_keeps_people_beyond_the_list(spark):
+    rows = [(1, i, f"P{i}", "this", (i * 10, i * 10 + 4)) for i in range(30)]
+    turns = spark.createDataFrame(rows, "transcript_id int, turn_index int, speaker string, text string, span struct<start int, end int>")
+    none = spark.createDataFrame([], "transcript_id int, turn_index int, segment_index int, sentence_index int, text string, speaker string, span struct<start int, end int>")
+    last = R.salience(turns, none).filter("turn_index = 29").collect()
+    assert len(last) == 30 and sorted(r.rank for r in last) == [*range(10), *[10] * 20]
+
+
+def test_answers_and_responses_in_any_order(spark):
+    turns = S.with_spans(spark.createDataFrame([(1, 0, "ANN", "Data shows 5 percent.")], "transcript_id int, turn_index int, speaker string, text string"))
+    answers = [("Data shows 5 percent.", "normative", 0.7, "a"), ("Data shows 5 percent.", "empirical", 0.9, "b")]
+    told = {C.with_answers(C.claims(turns), spark.createDataFrame(x, "text string, claim_type string, confidence double, reasoning string")).first().claim_type for x in (answers, answers[::-1])}
+    assert told == {"empirical"}
+    keys = spark.createDataFrame([("5 PERCENT", 2, "false", 0.1, "x"), ("shows", 1, "verified", 0.9, "y"), (None, 0, "z", 0.0, "z")], "key string, key_order int, status string, confidence double, source string")
+    keys = keys.withColumn("sources", F.array().cast("array<string>")).withColumn("urls", F.array().cast("array<string>"))
+    both = [[r.response.status for r in K.first_responses(C.claims(turns), keys, known).collect()] for known in (0, 100)]
+    assert both == [["verified"], ["verified"]]
+
+
+def test_reports(spark):
+    turns = S.with_spans(spark.createDataFrame([(1, 0, "ANN", "Data shows 5 percent because of trade. You should agree."), (1, 1, "Bob Roe", "But research shows it is wrong.")], "transcript_id int, turn_index int, speaker string, text string"))
+    found = C.claims(turns)
+    summary = P.claim_summary(found).first()
+    assert summary.total == 2 and summary.by_type == {"empirical": 2} and summary.by_category == {"empirical": 2}
+    known = R.entities(turns, found)
+    names = spark.createDataFrame([(1, " bob roe "), (1, "nobody"), (2, "ann")], "transcript_id int, name string")
+    assert [(r.name, r.entity_id) for r in P.entity_named(known, names).collect()] == [(" bob roe ", known.filter("canonical = 'Bob Roe'").first().entity_id)]
+    assert known.filter(P.matches(F.lit("ANN "), F.col("canonical"), F.col("aliases"))).count() == 1
+    assert P.by_id(found, found.limit(1), "claim_id").count() == 1
+    assert {(r.type, r.stance): r.claims_count for r in P.clusters(found).collect()} == {("statistical", "for"): 1, ("factual", "against"): 1}
+    checks = spark.createDataFrame([(1, r.claim_id, "verified", 0.9, "Office") for r in found.collect()], "transcript_id int, claim_id string, status string, confidence double, summary string")
+    assert {r.explanation for r in P.checked_claims(found, checks).collect()} == {"This claim is TRUE. Source: Office."}
+    page = P.overview(turns, found, H.fallacies(turns), checks).first()
+    assert (page.speakers, page.claims, page.fallacies, page.verification_summary) == (2, 2, 0, {"verified": 2})
+    blocks = spark.createDataFrame([(1, " taxes rose "), (2, "all TAXES fell"), (3, "none")], "block_id int, text string")
+    ready = spark.createDataFrame([("taxes", 2, "c1", 0.9), ("taxes rose", 1, "c2", 0.8), ("taxes rose", 1, "c3", 0.7)], "pattern string, pattern_order int, claim string, confidence double")
+    assert sorted((r.block_id, r.claim) for r in P.static_claims(blocks, ready).collect()) == [(1, "c2"), (1, "c3"), (2, "c1")]
+    assert P.filtered(spark.createDataFrame([("Yeah, right.",), ("Unemployment fell to 4 percent in 2019.",)], "text string")).count() == 1
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("ANN: Data shows it works.\n\nBOB: No.")
-    result = engine.analyze(S.read_texts(spark, str(tmp_path / "in")))
-    saved = D.saved_analyses(S.read_texts(spark, str(tmp_path / "in")), result.documents())
+    for i in range(4):
+        (tmp_path / f"in/{i}.txt").write_text("ANN: Data shows it works.\n\nBOB: No." + " It is so." * i)
+    texts = S.read_texts(spark, str(tmp_path / "in"))
+    result = engine.analyze(texts)
+    saved = D.saved_analyses(texts, result.documents()).coalesce(1)
     D.write_json(saved, str(tmp_path / "out"))
     (tmp_path / "out/bad.json").write_text("{broken")
-    back = S.recent_analyses(S.read_analyses(spark, str(tmp_path / "out"))).collect()
-    assert len(back) == 1 and back[0].claims_count == 1
+    read = S.read_analyses(spark, str(tmp_path / "out"))
+    assert read.count() == 4 and sorted(map(str, read.select("id", "input_text").collect())) == sorted(map(str, saved.select("id", "input_text").collect()))
+    assert [r.claims_count for r in S.recent_analyses(read).collect()] == [1] * 4
+    (tmp_path / "pages").mkdir()
+    for i, r in enumerate(read.limit(2).toJSON().collect()):
+        (tmp_path / f"pages/{i}.json").write_text(json.dumps(json.loads(r), indent=2))
+    assert S.read_analyses(spark, str(tmp_path / "pages"), one_per_file=True).count() == 2
     (tmp_path / "in/b.txt").write_text("  ")
     with pytest.raises(S.EmptyTranscript):
         S.read_texts(spark, str(tmp_path / "in"))
 
 
+def test_speech_documents(spark):
+    one = '{"text": "Hi. Yo.", "audio_duration": 2.5, "utterances": [{"speaker": "A", "text": "Hi.", "start": 0, "end": 900, "confidence": 0.75}, {"speaker": "B", "text": "Yo.", "start": 1000, "end": 2500}]}'
+    rows = spark.createDataFrame([(1, one)], "transcript_id int, json string")
+    got = json.loads(D.speech_documents(S.speech_utterances(rows), S.speech_summary(rows)).first().document)
+    assert got["metadata"] == {"audio_duration_ms": 2500, "speaker_count": 2, "language": "en", "utterance_count": 2} and got["full_text"] == "Hi. Yo."
+    assert got["utterances"][1] == {"speaker": "SPEAKER_B", "text": "Yo.", "start_ms": 1000, "end_ms": 2500, "confidence": 1.0}
+
+
 def test_fallacies_and_scores(spark):
     df = spark.createDataFrame([(1, 0, "A", "You are just a liar. So you're saying either we act or we lose."), (1, 1, "B", "studies show clear gains")], "transcript_id int, turn_index int, speaker string, text string")
     found = {r.fallacy_type: (r.patterns_matched, r.severity) for r in H.fallacies(df).collect()}
