@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -69,12 +70,32 @@ CERTAIN = ("is", "are", "was", "were", "has", "have", "will", "facts", "evidence
 LEAST = 0.3
 
 
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings one of which every match of a pattern holds; none if the pattern doesn't tell."""
+    ahead = re.sub(r"\(\?![^()]*(?:\([^()]*\)[^()]*)*\)", "\0", pattern)  # what must not follow says nothing
+    groups = re.findall(r"\(\?:([^()]*)\)(?![?*])", ahead)
+    bare = re.sub(r"\([^()]*\)[?*+]?", "\0", ahead)
+    runs = [x for x in re.split(r"\\[a-zA-Z]\+?|\.[+*]?|[\0?*+|\[\]{}]", bare) if len(x.strip()) >= 4]
+    if runs:
+        return (max(runs, key=len).lower(),)
+    plain = [tuple(g.lower().split("|")) for g in groups if re.fullmatch(r"[\w' -]+(?:\|[\w' -]+)*", g)]
+    return max((g for g in plain if min(map(len, g)) >= 4), key=lambda g: min(map(len, g)), default=())
+
+
 def fallacies(texts: DataFrame, keys: tuple[str, ...] = ("transcript_id", "turn_index", "speaker")) -> DataFrame:
     """One row per fallacy found in a row's text: patterns matched, confidence and severity.
 
     One pattern scores 0.6, each further one 0.2 more, at most 1; severity follows the bands 0.8 and 0.5.
+    A pattern runs only where the lower-cased text holds one of its literals.
     """
-    hits = lambda ps: reduce(Column.__add__, (F.regexp_like(F.col("text"), F.lit(f"(?iU){p}")).cast("int") for p in ps))
+    texts = texts.withColumn("_low", F.lower("text"))
+
+    def hit(p: str) -> Column:
+        told = F.regexp_like(F.col("text"), F.lit(f"(?iU){p}")).cast("int")
+        held = [F.contains("_low", F.lit(x)) for x in literals(p)]
+        return F.when(F.col("text").isNotNull(), F.when(reduce(Column.__or__, held), told).otherwise(0)) if held else told
+
+    hits = lambda ps: reduce(Column.__add__, map(hit, ps))
     each = F.array(*(F.struct(F.lit(kind).alias("fallacy_type"), hits(ps).alias("patterns_matched")) for kind, ps in FALLACIES.items()))
     rows = texts.select(*keys, "text", F.inline(F.filter(each, lambda x: x["patterns_matched"] > 0)))
     confidence = F.least(F.lit(1.0), F.round(0.4 + 0.2 * F.col("patterns_matched"), 6))

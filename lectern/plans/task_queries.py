@@ -226,3 +226,20 @@ grouped AS (SELECT transcript_id, run, part, count(*)::INT AS n_sentences, min(s
 detected AS (SELECT *, (row_number() OVER (PARTITION BY transcript_id ORDER BY run, part) - 1)::INT AS turn_index FROM grouped)
 """
 catalog.ORACLES["continuous_turns"] = _SENTENCES + f"SELECT transcript_id, turn_index, CASE WHEN turn_index % 2 = 0 THEN '{S.DEFAULT_SPEAKERS[0]}' ELSE '{S.DEFAULT_SPEAKERS[1]}' END AS speaker, n_sentences, start, \"end\", CASE WHEN turn_index = 0 THEN 0.5 ELSE round(confidence, 6) END::DOUBLE AS confidence FROM detected"
+
+
+# The documents hold paragraphs and continuous speech; labelled transcripts are compared by labelled_round_trip.
+_CLEAN = catalog._STRIP(r"regexp_replace(regexp_replace(x, '\s*[\[(][^\]\)]*[\])]', ' ', 'g'), '\s{2,}', ' ', 'g')")
+_UNTIMED = catalog._STRIP(r"regexp_replace(regexp_replace(x, '\b\d{1,2}:\d{2}:\d{2}(?:\.\d+)?\b', ' ', 'g'), '\s{2,}', ' ', 'g')")
+_FLOWING = catalog.ORACLES["document_paragraphs"].rpartition("SELECT transcript_id, line_number, text FROM clean")[0]
+_DETECTED = _SENTENCES.split("marked AS", 1)[1]
+catalog.ORACLES["document_utterances"] = (
+    _FLOWING.rstrip()
+    + f""", flowing AS (SELECT transcript_id, string_agg(line, ' ' ORDER BY i) AS x FROM lines JOIN told USING (transcript_id) WHERE dialect = 'continuous' AND line <> '' GROUP BY ALL),
+one AS (SELECT transcript_id, {catalog._STRIP("regexp_replace(x, '\\s+', ' ', 'g')")} AS t FROM (SELECT transcript_id, {_UNTIMED} AS x FROM flowing)),
+marked AS{_DETECTED}, every AS (
+  SELECT transcript_id, line_number, 'UNKNOWN' AS speaker, text FROM clean JOIN told USING (transcript_id) WHERE dialect = 'paragraphs' AND text <> ''
+  UNION ALL SELECT transcript_id, turn_index + 1, CASE WHEN turn_index % 2 = 0 THEN '{S.DEFAULT_SPEAKERS[0]}' ELSE '{S.DEFAULT_SPEAKERS[1]}' END, {_CLEAN} FROM (SELECT transcript_id, turn_index, said AS x FROM detected)
+)
+SELECT transcript_id, (row_number() OVER (PARTITION BY transcript_id ORDER BY line_number) - 1)::INT AS utterance_index, line_number::INT AS line_number, speaker, length(text)::INT AS n_chars FROM every WHERE text <> ''"""
+)
