@@ -91,7 +91,7 @@ def stats(cut: DataFrame, turns: DataFrame, claims: DataFrame, budgets: Budgets
 
 def verification_score(credibility, evidence, consensus, recency):
     """Weighted verification score and its band."""
-    total = 0.4 * credibility + 0.3 * evidence + 0.2 * consensus + 0.1 * recency
+    total = F.round(0.4 * credibility + 0.3 * evidence + 0.2 * consensus + 0.1 * recency, 12)
     band = F.when(total >= 0.9, "verified true").when(total >= 0.7, "likely true").when(total >= 0.4, "mixed").when(total >= 0.2, "likely false").otherwise("verified false")
     return F.struct(total.alias("score"), band.alias("band"))
 

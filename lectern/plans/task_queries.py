@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import claims as C
+from lectern.operators import coreference as R
 from lectern.operators import facts as K
 from lectern.operators import reports as P
 from lectern.operators import rhetoric as H
@@ -243,3 +244,48 @@ marked AS{_DETECTED}, every AS (
 )
 SELECT transcript_id, (row_number() OVER (PARTITION BY transcript_id ORDER BY line_number) - 1)::INT AS utterance_index, line_number::INT AS line_number, speaker, length(text)::INT AS n_chars FROM every WHERE text <> ''"""
 )
+
+
+_PATH = "/".join
+
+
+@query(CHAIN + f"""SELECT transcript_id, claim_id, 'turn_' || turn_index AS scope_id, '{_PATH(C.CLAIM_PATH)}' AS method_path, true AS requires_review, k.t = 'unclassified' OR k.c < 0.6 AS review_flag, k.t IN ({', '.join(f"'{t}'" for t in C.CHECKABLE)}) AS checkable FROM claims""")
+def claim_lineage(spark, sf_dir):
+    rows = C.claims(conversation_turns(spark, sf_dir))
+    return rows.select("transcript_id", "claim_id", "scope_id", F.array_join("method_path", "/").alias("method_path"), "requires_review", "review_flag", "checkable")
+
+
+@query(CHAIN + f"""SELECT r.transcript_id, r.turn_index, r.rs AS start, least({R.LISTED}, count(s.entity_id)) AS n_candidates, false AS should_commit, '{_PATH(R.RESOLUTION_PATH)}' AS method_path,
+CASE WHEN count(s.entity_id) = 0 THEN 0 ELSE 1 END AS n_features FROM refs r LEFT JOIN scored s ON s.transcript_id = r.transcript_id AND s.turn_index = r.turn_index AND s.rs = r.rs GROUP BY ALL""")
+def resolution_lineage(spark, sf_dir):
+    turns = conversation_turns(spark, sf_dir)
+    rows = R.resolutions(turns, C.claims(turns))
+    return rows.select("transcript_id", F.col("turn_index").cast("long"), "span.start", F.size("candidates").cast("long").alias("n_candidates"), "should_commit", F.array_join("method_path", "/").alias("method_path"), F.size("scoring_features").alias("n_features"))
+
+
+@query(CHAIN + """SELECT transcript_id, entity_id, CASE WHEN arg_min(entity_type, o) = 'PERSON' THEN 1 ELSE count(*) END AS n_spans, CASE WHEN arg_min(entity_type, o) = 'PERSON' THEN array_to_string(list_sort(list_distinct([lower(arg_min(canonical, o)), upper(arg_min(canonical, o))])), ',') ELSE '' END AS aliases FROM keyed GROUP BY ALL""")
+def entity_names(spark, sf_dir):
+    turns = conversation_turns(spark, sf_dir)
+    return R.entities(turns, C.claims(turns)).select("transcript_id", "entity_id", F.size("mention_spans").cast("long").alias("n_spans"), F.array_join("aliases", ",").alias("aliases"))
+
+
+# One sentence for each rule, in an order that tries their precedence as well.
+KINDS = [
+    "The rate rose by 30 percent here.", "There were 5 million people at study.", "A controlled sample was used here.", "The study design is found in data.", "Research found that it is measured.", "Evidence is what they must have.",
+    "They should do what is right now.", "The bright side is a nice thing.", "Free will is an illusion to many.", "The meaning of determinism is clear.", "I think it is a good day today.", "I feel it has some merit to it.",
+    "It will be a long road for them.", "That is probably what he has done.", "This is a plain thing to say now.", "Studies were kept in a box there.",
+]
+
+
+@query(f"SELECT i, text, c.t AS claim_type, c.c::DOUBLE AS confidence, c.r AS reason FROM (SELECT i, text, {catalog._CLASS} AS c FROM (SELECT i, text, lower(text) AS lo FROM {catalog.sql_values(list(enumerate(KINDS)), 'i, text')}))")
+def claim_kinds(spark, sf_dir):
+    rows = catalog.inline(spark, list(enumerate(KINDS)), "i int, text string")
+    return rows.select("i", "text", C.classification(F.col("text")).alias("c")).select("i", "text", "c.claim_type", "c.confidence", "c.reason")
+
+
+@query("""SELECT item_id, CASE WHEN v >= 0.9 THEN 'verified true' WHEN v >= 0.7 THEN 'likely true' WHEN v >= 0.4 THEN 'mixed' WHEN v >= 0.2 THEN 'likely false' ELSE 'verified false' END AS band,
+CASE WHEN v >= 0.85 THEN 'excellent' WHEN v >= 0.7 THEN 'good' WHEN v >= 0.55 THEN 'average' WHEN v >= 0.4 THEN 'poor' ELSE 'very poor' END AS rating FROM (SELECT item_id, (item_id % 101) / 100.0 AS v FROM benchmark)""")
+def score_bands(spark, sf_dir):
+    v = (F.col("item_id") % 101) / F.lit(100.0)
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return rows.select("item_id", K.verification_score(v, v, v, v)["band"].alias("band"), H.rating(v).alias("rating"))

@@ -167,10 +167,10 @@ def utterances(transcripts: DataFrame, speakers: tuple[str, str] = DEFAULT_SPEAK
 
 def from_transcripts(transcripts: DataFrame, speakers: tuple[str, str] = DEFAULT_SPEAKERS) -> DataFrame:
     """Turns of raw transcripts; one without utterances becomes a single turn of its stripped text."""
-    said = utterances(transcripts, speakers).select("transcript_id", F.col("utterance_index").alias("turn_index"), "speaker", "text")
-    rest = transcripts.join(said.select("transcript_id").distinct(), "transcript_id", "left_anti")
-    alone = rest.select("transcript_id", F.lit(0).alias("turn_index"), F.lit(T.UNKNOWN).alias("speaker"), T.strip(F.coalesce("text", F.lit(""))).alias("text"))
-    return with_spans(said.unionByName(alone))
+    said = utterances(transcripts, speakers).select("transcript_id", F.col("utterance_index").alias("turn_index"), "speaker", "text", F.lit(True).alias("_said"))
+    alone = transcripts.select("transcript_id", F.lit(0).alias("turn_index"), F.lit(T.UNKNOWN).alias("speaker"), T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.lit(False).alias("_said"))
+    every = said.unionByName(alone).withColumn("_any", F.max("_said").over(Window.partitionBy("transcript_id")))
+    return with_spans(every.filter(F.col("_said") == F.col("_any")))
 
 
 SPEECH = "struct<text:string,audio_duration:double,language_code:string,utterances:array<struct<speaker:string,text:string,start:bigint,end:bigint,confidence:double>>>"
