@@ -14,28 +14,50 @@ from lectern.llm.common import checkpointed, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the current policy."""
+    """Documents that pass every rule of the current policy.
+
+    A null or empty text has no words and goes; long texts are measured whole; repeated rows are judged
+    alike; an empty table stays empty; further columns are kept, whatever their names.
+    """
     return quality_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the one of least doc_id (nulls last).
+
+    Null and empty texts are one class; long texts are compared whole; of repeated rows, or rows that share
+    id and text, one stays, with its own further columns; an empty table stays empty; further columns are
+    kept, whatever their names.
+    """
     return minhash_dedup.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 200-byte strings that start anywhere else; documents with nothing left go."""
+    """Texts without the 200-byte strings that start anywhere else; documents with nothing left go.
+
+    A null text becomes an empty one and stays, as texts under 200 bytes do; long texts are cut whole;
+    repeated rows repeat each other and go; an empty table stays empty; ``n_chars`` follows the text, further
+    columns are kept, whatever their names.
+    """
     cut = repeat_removal.deduplicated(docs)
     return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Rows without a word aren't taken; a null source is a source and comes last; equal rows count one by one;
+    an empty table stays empty; further columns are kept, whatever their names.
+    """
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
+    """Token counts and digests of every row of the mix.
+
+    A null text counts as empty; long texts are cut into chunks and stitched; repeated rows give repeated
+    rows; an empty table gives no rows; further columns are left out.
+    """
     return byte_bpe.encode_documents(docs)
 
 

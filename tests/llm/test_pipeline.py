@@ -67,6 +67,22 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert max(copies.values()) <= 3
 
 
+NAMES = ("key", "row", "cls", "_cls", "_class", "_id", "id", "dk", "dl", "z", "runs", "kept", "n_words", "failed_bits", "_row", "_copies", "copies", "size", "taken", "target", "_0", "_text", "_key", "bucket")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{c}` string' for c in NAMES)}"
+    docs = spark.createDataFrame([(*r, *(f"{c} of {r[0]}" for c in NAMES)) for r in documents()[:40]], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *NAMES] and got, name
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in got for c in NAMES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(got)
+
+
 def test_stages_keep_columns_and_empty_tables(spark):
     import corpus_pipeline
 
