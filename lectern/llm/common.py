@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch where the session leaves Spark's default: rows hold whole texts.
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: rows hold whole texts.
 BATCH_ROWS, BATCH_KEY, DEFAULT_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_BYTES, BYTES_KEY = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def importable(spark: SparkSession) -> None:
@@ -24,6 +25,8 @@ def importable(spark: SparkSession) -> None:
     """
     if spark.conf.get(BATCH_KEY, DEFAULT_ROWS) == DEFAULT_ROWS:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    if spark.conf.get(BYTES_KEY, None) is None:
+        spark.conf.set(BYTES_KEY, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
