@@ -9,10 +9,12 @@ fills less than a quarter of its texts brings none of them together.
 Within a bucket, texts are sorted by a signature of all minima, and neighbours become the first
 candidates: texts that are much alike mostly lie side by side. The sort is a range partition over all
 buckets at once (a bucket may span partitions; their ends are joined up). Then every other pair of a
-bucket is met, unless links have already connected it: buckets are split by length, large ones into
-blocks that meet each other in tasks of their own, and a pair is passed over only where lengths or word
-counts by hash rule out the similarity. No pair of a bucket is dropped, however large the bucket; what
-is left of a bucket's pairs after links, lengths and counts grows with its square.
+bucket is met, unless links have already connected it: large buckets are split by length and into blocks
+that meet each other in tasks of their own, and a pair is passed over only where lengths or the words in
+common rule out the similarity (an edit takes away one word at most), or where the task has connected it
+by then. The task aligns the rest on the spot, so pairs are never listed: links alone leave it, fewer than
+it has texts. No pair of a bucket is dropped, however large the bucket. Comparing bags of words is what
+grows with the square of a bucket, for texts that share passages at both ends without being alike.
 
 Candidates are verified by a banded, bit-parallel alignment over words: a link needs an edit
 similarity, 1 - distance / length of the longer text, of ``SIMILARITY``. The alignment compares 32-bit
@@ -46,8 +48,8 @@ from lectern.llm.common import WORD, checkpointed, hot_keys, map_rows, spread_jo
 from lectern.llm.components import components
 
 K, BANDS, MINIMA, SPREAD, SIMILARITY = 5, 16, 4, 0.25, 0.8
-#: Texts of a block where a bucket's pairs are met, about, and counters of words by hash.
-BLOCK, BINS = 1_024, 128
+#: Texts and words of a block where a bucket's pairs are met, about: they bound a task's memory.
+BLOCK, WORDS = 1_024, 1 << 20
 _I, _J = np.triu_indices(MINIMA, 1)
 _FIND = re.compile(WORD).findall
 _ODD = np.array([int.from_bytes(hashlib.blake2b(f"band {i}".encode(), digest_size=8).digest()) | 1 for i in range(BANDS)], np.uint64)[:, None]
@@ -205,17 +207,17 @@ def candidates(near: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return near.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def word_counts(h: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((h % _U(BINS)).astype(np.int64), minlength=BINS), 0xFF).astype(np.uint8)
+def possible(words: list[np.ndarray], root: np.ndarray, home: np.ndarray, block: np.ndarray, two: bool, similarity: float = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j < i) of texts sorted by length that may be alike, given as word hashes.
 
-
-def possible(n: np.ndarray, counts: np.ndarray, root: np.ndarray, home: np.ndarray, block: np.ndarray, two: bool, similarity: float = SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, all j < i) of rows sorted by length that may be alike: a text's words beyond the shorter one's are edits.
-
-    Left out are pairs of one root, pairs away from home (met elsewhere) and, between ``two`` blocks,
-    pairs within one. Counters that end at their limit understate differences, never the reverse.
+    A text shares all its words, repeats told apart, with one that is alike, but for one an edit. Left out
+    are pairs of one root, pairs away from home (met elsewhere) and, between ``two`` blocks, pairs within one.
     """
+    n = np.array([len(w) for w in words])
     band = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    ends = np.r_[0, np.cumsum(n)]
+    _, bag = np.unique(np.concatenate([kmers(w.astype(np.uint64), 1) if len(w) else w.astype(np.uint64) for w in words]), return_inverse=True)
+    held = np.zeros(bag.max(initial=0) + 1, np.int32)
     first = np.searchsorted(n, n - band)
     for i in range(len(n)):
         at = slice(first[i], i)
@@ -224,45 +226,61 @@ def possible(n: np.ndarray, counts: np.ndarray, root: np.ndarray, home: np.ndarr
             met &= block[at] != block[i]
         j = first[i] + np.flatnonzero(met)
         if len(j):
-            low = counts[j]
-            j = j[(np.maximum(low, counts[i]) - low).sum(1, dtype=np.int64) <= band[i]]
+            own = bag[ends[i] : ends[i + 1]]
+            held[own] = 1
+            shared = np.r_[0, np.cumsum(held[bag[ends[j[0]] : ends[i]]])]
+            held[own] = 0
+            j = j[shared[ends[j + 1] - ends[j[0]]] - shared[ends[j] - ends[j[0]]] >= n[i] - band[i]]
             if len(j):
                 yield i, j
 
 
-def bucket_pairs(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b) with a < b: all pairs of the neighbours' buckets that may be alike and have two roots.
+def bucket_links(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(u, v): links that connect what is alike in the neighbours' buckets and has two roots.
 
-    Lengths that differ by a stratum or more are never alike: a text is at home in its stratum and a
-    guest in the next. Each stratum's texts are dealt into blocks by hash; two blocks meet in one group.
+    Where a bucket is larger than a block it is cut into strata of length, which are never alike if they
+    aren't neighbours: a text is at home in its stratum and a guest in the next. Each stratum's texts are
+    dealt into blocks by hash; two blocks meet in one group.
     """
     members = near.select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("bucket", "m.*")
     rooted = members.distinct().join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     # Two texts of a bucket are neighbours, and texts of one root are done.
-    many = rooted.groupBy("bucket").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("m > 2 and low < high").select("bucket")
+    many = rooted.groupBy("bucket").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("w")).filter("m > 2 and low < high").select("bucket", ((F.col("m") > block) | (F.col("w") > WORDS)).alias("large"))
     own = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.log(F.lit(1.05 / similarity))).cast("int")
-    placed = rooted.join(many, "bucket", "left_semi").withColumn("own", own)
-    placed = checkpointed(placed.withColumn("stratum", F.explode(F.array("own", F.col("own") + 1))).withColumn("home", F.col("own") == F.col("stratum")).drop("own"))
+    placed = rooted.join(many, "bucket").withColumn("own", F.when(F.col("large"), own).otherwise(0))
+    strata = F.when(F.col("large"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))
+    placed = checkpointed(placed.withColumn("stratum", F.explode(strata)).withColumn("home", F.col("own") == F.col("stratum")).drop("own", "large"))
     cell = ["bucket", "stratum"]
-    cells = placed.groupBy(cell).agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"))
-    cells = cells.filter("low < high and any").select(*cell, F.ceil(F.col("m") / block).alias("parts"))
+    cells = placed.groupBy(cell).agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("any"), F.sum("n").alias("w"))
+    cells = cells.filter("low < high and any").select(*cell, F.ceil(F.greatest(F.col("m") / block, F.col("w") / WORDS)).alias("parts"))
     dealt = placed.join(cells, cell).withColumn("block", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.join(texts.select("id", "counts"), "id").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    dealt = dealt.join(texts, "id").withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     group = [*cell, "p", "q"]
     parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "n", "id").select(*group, "block", "id", "root", "home", "n", "counts")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        blocks, ids, root, home, n, counts = zip(*(r[4:] for r in rows))
-        root, ids = np.array(root), np.array(ids)
-        if (root != root[0]).any():
-            table = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, BINS)
-            for i, js in possible(np.array(n), table, root, np.array(home), np.array(blocks), rows[0][2] != rows[0][3], similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[js])), pa.array(np.maximum(ids[i], ids[js]))], schema=schema)
+    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group, "n", "id").select(*group, "block", "id", "root", "home", "h")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def joined(rows: list[tuple]) -> list[tuple]:
+        blocks, ids, root, home, h = zip(*(r[4:] for r in rows))
+        if len(set(root)) == 1:
+            return []
+        words, over, links = [np.frombuffer(w, "<u4") for w in h], {}, []
+
+        def top(r: int) -> int:
+            while (p := over.get(r, r)) != r:
+                r = p
+            return r
+
+        for i, js in possible(words, np.array(root), np.array(home), np.array(blocks), rows[0][2] != rows[0][3], similarity):
+            own = words[i].tolist()
+            for j in js:
+                if (a := top(root[i])) != (b := top(root[j])) and alike(words[j].tolist(), own, similarity):
+                    over[max(a, b)] = min(a, b)
+                    links.append((ids[i], ids[j]))
+        return links
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, found = [], []
+        rows: list[tuple] = []
 
         def stream():
             for b in batches:
@@ -271,18 +289,13 @@ def bucket_pairs(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity
 
         for r in stream():
             if rows and (r is None or r[:4] != rows[0][:4]):
-                for some in pairs(rows):
-                    found.append(some)
-                    if len(found) >= 1_000:
-                        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
-                        found = []
+                if links := joined(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=schema)
                 rows = []
             if r is not None:
                 rows.append(r)
-        if found:
-            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return dealt.mapInArrow(meet, "u long, v long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -323,20 +336,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "d
     def word_hashes():
         hasher = Hasher()
 
-        def row(node, text):
-            h = hasher(_FIND(text.lower()))
-            return node, word_counts(h).tobytes(), h.astype("<u4").tobytes()
-
-        return row
+        return lambda node, text: (node, hasher(_FIND(text.lower())).astype("<u4").tobytes())
 
     # One copy of each text that has a candidate, as 32-bit word hashes.
     chosen = nodes.select("id", F.col("cls").alias("_c"), F.col("least").alias("_k")).join(wanted, "id")
     one = source.join(chosen, (F.col("cls") == F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")))
-    texts = checkpointed(map_rows(one.select("id", "text"), word_hashes, "id long, counts binary, h binary").groupBy("id").agg(F.first("counts").alias("counts"), F.first("h").alias("h")))
+    texts = checkpointed(map_rows(one.select("id", "text"), word_hashes, "id long, h binary").groupBy("id").agg(F.first("h").alias("h")))
     roots = components(verified(pairs, texts, similarity))
     # All other pairs of the buckets, where links haven't joined them yet.
-    rest = checkpointed(bucket_pairs(near, texts, roots, similarity).join(pairs, ["a", "b"], "left_anti"))
-    roots = components(verified(rest, texts, similarity).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    more = bucket_links(near, texts, roots, similarity)
+    roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     named = nodes.select("id", "cls", "least").join(roots, F.col("id") == F.col("node"), "left")
     placed = checkpointed(named.select("cls", "least", F.coalesce("root", "id").alias("root")))
     sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "cls"))["cls"].alias("class_cls"))

@@ -114,18 +114,30 @@ def test_near_copies_in_crowded_buckets(spark):
     assert got == {i: i if i < n else i - n for i in range(n + copies)}
 
 
+def connected(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_blocks_meet_all_pairs(spark):
     rng = random.Random(3)
     words = [rng.choices(range(30), k=rng.randrange(4, 60)) for _ in range(60)]
     words += [edited(rng, w, rng.randrange(1, 4)) for w in words]
     hashes = [M.Hasher()([str(x) for x in w]) for w in words]
-    texts = spark.createDataFrame([(i, M.word_counts(h).tobytes()) for i, h in enumerate(hashes)], "id long, counts binary")
+    texts = spark.createDataFrame([(i, h.astype("<u4").tobytes()) for i, h in enumerate(hashes)], "id long, h binary")
     size = [len(w) for w in words]
     near = spark.createDataFrame([(5, i, size[i], i + 1, size[i + 1]) for i in range(len(words) - 1)], "bucket long, a long, na int, b long, nb int")
     roots = spark.createDataFrame([(61, 1)], "node long, root long")
-    true = {(i, j) for j in range(len(words)) for i in range(j) if M.alike(list(hashes[i]), list(hashes[j]))} - {(1, 61)}
-    found = [{(r.a, r.b) for r in M.bucket_pairs(near, texts, roots, block=size).collect()} for size in (7, 1000)]
-    assert found[0] == found[1] and true <= found[0] and len(true) > 40
+    true = {(i, j) for j in range(len(words)) for i in range(j) if M.alike(list(hashes[i]), list(hashes[j]))}
+    for block in (7, 1000):
+        links = [tuple(r) for r in M.bucket_links(near, texts, roots, block=block).collect()]
+        assert {(min(x), max(x)) for x in links} <= true and len(true) > 40
+        assert connected(len(words), [*links, (61, 1)]) == connected(len(words), [*true, (61, 1)])
+    only = [tuple(r) for r in M.bucket_links(near, texts, roots).collect()]
+    assert len(only) < len(words)  # links alone, whatever the number of pairs
 
 
 def test_clashing_names_and_long_texts(spark):
