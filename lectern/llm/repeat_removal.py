@@ -8,9 +8,12 @@ Each window of ``LENGTH`` bytes is owned by the least-hashed gram of ``GRAM`` by
 windows have equal owners at equal distance. Neighbouring windows with one owner form a stretch, about
 85 bytes apart on average. Only stretches whose gram occurs twice can hold a repeat. A stretch that
 occurs twice as a whole is a repeat as a whole, one row for up to 169 windows; what is left are
-stretches at the ends of repeated passages, and their windows are compared one by one: within a task
-for the stretches of one gram, and by a count over all tasks for grams with more than ``MEET`` unlike
-stretches, a group's fixed limit whatever the corpus.
+stretches at the ends of repeated passages, and their windows are compared one by one within a task, for
+the stretches of one gram. Where a gram has more than ``MEET`` unlike stretches, a group's fixed limit
+whatever the corpus, they are cut where the gram's place in a window is a multiple of 128, then of 64,
+and so on down to single windows: pieces whose windows share no bytes with another's are done, pieces
+that occur twice as a whole are repeats, one row each, and only groups that are still larger go on. A
+passage's end so costs a few rows a level and occurrence, not one a window.
 
 Counts by gram and by stretch combine on the map side; in joins on them the rows of very frequent
 grams, stretches and windows are dealt over all partitions, so no task holds a passage's occurrences
@@ -25,7 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text that a task hashes at a time, and of stretches that it compares at a time; a dozen arrays of eight bytes each go with a byte.
 SLAB = 1 << 20
-#: Stretches of one gram that meet in one task; the windows of larger groups are counted over all tasks.
+#: Stretches of one gram that meet in one task; larger groups are cut into pieces, counted over all tasks.
 MEET = 1_024
 _U = np.uint64
 _LOW = _U((1 << 31) - 1)
@@ -182,13 +186,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(pa.Table.from_batches(held))
 
 
-def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(c, pa.int64()) for c in ("g", "w", "dk", "dl", "first", "n")])
-    for batch in batches:
-        for part, s, ends in _slabs(batch, "s"):
-            row, at, w = _windows(s, ends)
-            g, dk, dl, loc, n = (part.column(c).to_numpy()[row] for c in ("g", "dk", "dl", "loc", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, w.view(np.int64), dk, dl, (loc >> 8) + at, n)], schema=schema)
+_PIECE = pa.schema([*((c, pa.int64()) for c in ("g", "c", "n", "dk", "dl", "loc")), ("s", pa.binary())])
+
+
+def _pieces(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stretches cut where their gram's place in a window is a multiple of ``size``.
+
+    ``g`` becomes a hash of the bytes that all windows of such a block hold, equal for all pieces that
+    could share a window; ``c`` a hash of the piece.
+    """
+    digest = lambda b, m: int.from_bytes(hashlib.blake2b(b, digest_size=8, salt=bytes([m])).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, b, ends in _slabs(batch, "s"):
+                starts, out = np.r_[0, ends[:-1]], []
+                grams = hashes(b)[0] & ~_LOW
+                places = np.argmin(grams[starts[:, None] + np.arange(REACH)], axis=1).tolist()
+                for place, n, dk, dl, loc, s in zip(places, *(part.column(c).to_pylist() for c in ("n", "dk", "dl", "loc", "s"))):
+                    first, more = loc >> 8, loc & 255
+                    for m in range((place - more) // size, place // size + 1):
+                        low, high = m * size, min(m * size + size, REACH) - 1
+                        i, j = max(0, place - high), min(more, place - low)
+                        piece = s[i : j + LENGTH]
+                        out.append((digest(s[place - low : place - high + LENGTH], m), digest(piece, m), n, dk, dl, first + i << 8 | j - i, piece))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _PIECE)], schema=_PIECE)
+
+    return run
+
+
+def _shared(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces (n = 1) that occur again as a whole, and one copy of each piece whose ``g`` others have, with their number ``k``."""
+    kinds = pieces.groupBy("c", "g").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("dk", "dl", "loc", "s")).alias("at"))
+    kinds = checkpointed(kinds.select("g", "c", "n", "rows", "at.*"))
+    often = kinds.filter("rows > 1").select("c", "g", "rows")
+    whole = spread_join(pieces.filter("n = 1").drop("s"), often.select("c", "g"), ["c", "g"], hot_keys(often, "c", "rows"))
+    mixed = checkpointed(kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k"))
+    return whole, checkpointed(spread_join(kinds.drop("c", "rows"), mixed, "g", hot_keys(mixed, "g", "k")))
+
+
+def _run(rows: DataFrame) -> DataFrame:
+    first = F.shiftright("loc", 8)
+    return rows.select("dk", "dl", first.alias("first"), (first + F.col("loc").bitwiseAND(F.lit(255))).alias("last"))
 
 
 def repeats(docs: DataFrame, meet: int = MEET) -> DataFrame:
@@ -201,20 +241,23 @@ def repeats(docs: DataFrame, meet: int = MEET) -> DataFrame:
     kinds = checkpointed(kinds.select("g", "c", "n", "at.dk", "at.dl", "at.loc"))
     often = kinds.filter("n > 1")
     whole = spread_join(again, often.select("c", "g"), ["c", "g"], hot_keys(often.select("c", "n"), "c"))
-    whole = whole.select("dk", "dl", F.shiftright("loc", 8).alias("first"), (F.shiftright("loc", 8) + F.col("loc").bitwiseAND(F.lit(255))).alias("last"))
     # Grams with a stretch that occurs once beside others: one copy of each of their stretches is cut out.
     mixed = checkpointed(kinds.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k"))
     open_ = spread_join(kinds, mixed, "g", hot_keys(mixed, "g", "k"))
     open_ = open_.groupBy("dk", "dl").agg(F.collect_list(F.struct("g", "k", "n", "loc")).alias("at"))
     cut = checkpointed(_cut(_packed(docs).dropDuplicates(["dk", "dl"]).join(open_, ["dk", "dl"])))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = cut.filter(F.col("k") <= meet).select("g", "n", "dk", "dl", "loc", "s").repartition(parts, "g").sortWithinPartitions("g")
-    near = near.mapInArrow(_compare, "dk long, dl long, first long, last long")
-    single = cut.filter(F.col("k") > meet).select("g", "n", "dk", "dl", "loc", "s").mapInArrow(_each_window, "g long, w long, dk long, dl long, first long, n long")
-    common = checkpointed(single.groupBy("w", "g").agg(F.count("*").alias("n")).filter("n > 1"))
-    far = spread_join(single.filter("n = 1").drop("n"), common.select("w", "g"), ["w", "g"], hot_keys(common.select("w", "n"), "w"))
-    far = far.select("dk", "dl", "first", F.col("first").alias("last"))
-    return whole.unionByName(near).unionByName(far)
+    columns = ("g", "n", "dk", "dl", "loc", "s")
+    found, near, size = [_run(whole)], cut.filter(F.col("k") <= meet).select(*columns), 128
+    while size and not (large := cut.filter(F.col("k") > meet)).isEmpty():
+        pieces = checkpointed(large.select(*columns).mapInArrow(_pieces(size), "g long, c long, n long, dk long, dl long, loc long, s binary"))
+        whole, cut = _shared(pieces)
+        found.append(_run(whole))
+        near = near.unionByName(cut.filter(F.col("k") <= meet).select(*columns))
+        size //= 2
+    near = near.repartition(parts, "g").sortWithinPartitions("g")
+    found.append(near.mapInArrow(_compare, "dk long, dl long, first long, last long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def spans(runs: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:

@@ -69,5 +69,20 @@ def test_deduplicated_rows(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "start ", 2: " end", 4: "", 5: "alone"}
 
 
+def test_large_groups_give_runs(spark):
+    """A passage's end, unlike in every text, costs a few rows an occurrence and not one a window."""
+    rng = random.Random(4)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = fresh(700)
+    texts = [fresh(rng.randrange(0, 200)) + passage[: 500 + i] + fresh(250) for i in range(0, 160, 4)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(k, 0, t) for k, t in rows], "dk long, dl long, text string")
+    runs = [(r.dk, r["first"], r["last"]) for r in R.repeats(docs, 4).collect()]
+    got = {k: R.spans([(a, b) for d, a, b in runs if d == k]) for k, _ in rows}
+    kept = {k: (sum(e - s for s, e in got[k]), len(got[k]), hashlib.sha256(R.keep(t.encode(), got[k])).hexdigest()) for k, t in rows}
+    assert sorted(((k, len(t), *kept[k]) for k, t in rows), key=str) == brute(rows)
+    assert len(runs) <= 25 * len(rows)
+
+
 def test_empty(spark):
     assert R.removal_rows(spark.createDataFrame([], "doc_id long, text string")).count() == 0
