@@ -15,7 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: rows hold whole texts.
 BATCH_ROWS, BATCH_KEY, DEFAULT_ROWS = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-BATCH_BYTES, BYTES_KEY = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Executors keep idle Python workers for later tasks; with these they give freed memory back to the system, where the session sets nothing else.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def importable(spark: SparkSession) -> None:
@@ -29,6 +31,8 @@ def importable(spark: SparkSession) -> None:
         spark.conf.set(BYTES_KEY, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment
+    for k, v in WORKER_MEMORY.items():
+        known.setdefault(k, v)
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([*paths, root])

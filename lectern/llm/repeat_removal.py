@@ -41,7 +41,7 @@ from lectern.llm.common import checkpointed, hot_keys, map_rows, spread_join, te
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text that a task hashes at a time, and of stretches that it compares at a time; a dozen arrays of eight bytes each go with a byte.
-SLAB = 1 << 20
+SLAB = 1 << 18
 #: Stretches of one gram that meet in one task; larger groups are cut into pieces, counted over all tasks.
 MEET = 1_024
 _U = np.uint64
