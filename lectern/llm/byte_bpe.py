@@ -32,8 +32,8 @@ from lectern.llm.common import map_rows, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 16_384, 256
-#: Pieces whose ids a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers, about 15 MB; beyond that it forgets all and starts again.
+REMEMBERED = 50_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -46,14 +46,14 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self._one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._bytes = {b: a for a, b in ranks.items()}
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def encode_pieces(self, pieces: Iterable[str]) -> list[int]:
         known, one = self._known, self._one
         ids: list[int] = []
         for piece in pieces:
             if (got := known.get(piece)) is None:
-                got = one(piece.encode())
+                got = tuple(one(piece.encode()))
                 if len(piece) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
@@ -163,17 +163,17 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: s
         c = codec(vocabulary)
         return lambda key, text: (key, *finish(c, c.encode(text)))
 
-    def split():
-        return lambda key, text: _chunk_rows(key, text, chunk, overlap)
-
     def pretokenise():
         pattern = codec(vocabulary).pattern
-        return lambda key, digest_, n, last, start, text: (key, digest_, n, last, start, text, np.array(boundaries(text, pattern, last), "<i4").tobytes())
 
-    head = f"_key {kind}, _whole binary, _n int, _last boolean, _start long, _text string"
+        def row(key, text):
+            for *head, last, start, part in _chunk_rows(key, text, chunk, overlap):
+                yield *head, last, start, part, np.array(boundaries(part, pattern, last), "<i4").tobytes()
+
+        return row
+
     one = map_rows(source.filter(short), whole, schema)
-    parts = map_rows(source.filter(~short), split, head, flat=True)
-    cut = map_rows(parts, pretokenise, f"{head}, _cuts binary")
+    cut = map_rows(source.filter(~short), pretokenise, f"_key {kind}, _whole binary, _n int, _last boolean, _start long, _text string, _cuts binary", flat=True)
     cut = cut.repartition(F.col("_key"), F.col("_whole")).sortWithinPartitions("_key", "_whole", "_n")
     from pyspark.sql.pandas.types import to_arrow_schema
 

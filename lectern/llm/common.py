@@ -43,12 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterable[tuple]]], schema: str, flat: bool = False) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterable[tuple]]], schema: str, flat: bool = False, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Apply a row function in Arrow batches.
 
     ``make`` runs once per task and returns the row function, which takes the columns of ``df`` by
     position and returns a tuple for ``schema`` (an iterable of tuples if ``flat``). No batch outlives
-    its own output, so memory is bounded by one Arrow batch.
+    its own output, so memory is bounded by one Arrow batch. ``then`` takes the batches of ``schema`` on to
+    others of it within the same worker: each further ``mapInArrow`` of a stage is another worker a core.
     """
     importable(df.sparkSession)
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -67,7 +68,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | Iterable[tu
                     cols = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow((lambda batches: then(run(batches))) if then else run, out)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

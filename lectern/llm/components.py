@@ -21,7 +21,7 @@ from lectern.llm.common import SHARE, checkpointed
 FOREST_NODES = 400_000
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
 
     def find(x):
@@ -55,7 +55,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contracted(edges: DataFrame) -> DataFrame:
     """A forest of each partition's edges, as (node, least node of its tree); no shuffle."""
-    return edges.mapInArrow(_forest, edges.schema)
+    return edges.mapInArrow(forest, edges.schema)
 
 
 def _raised(edges: DataFrame, least: DataFrame, hubs: dict) -> DataFrame:
@@ -89,12 +89,14 @@ def _is_star(edges: DataFrame) -> bool:
     return not seen.filter("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)`` that isn't its component's least node.
 
     ``u`` and ``v`` have one orderable type without nulls; order, direction, repeats and loops don't matter.
+    ``forests``: the step that made the edges has put them through ``forest``, so no second worker does.
     """
-    edges = checkpointed(contracted(edges.select("u", "v").filter("u <> v")).distinct())
+    edges = edges.select("u", "v").filter("u <> v")
+    edges = checkpointed((edges if forests else contracted(edges)).distinct())
     while not _is_star(edges):
         edges = checkpointed(_star(edges))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

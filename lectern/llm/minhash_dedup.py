@@ -36,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm.common import WORD, checkpointed, hot_keys, map_rows, spread_join, text_of
-from lectern.llm.components import components
+from lectern.llm.components import components, forest
 
 K, BANDS, MINIMA, SPREAD, SIMILARITY = 5, 16, 4, 0.25, 0.8
 #: Texts and words of a block where a bucket's pairs are met, about: they bound a task's memory.
@@ -235,12 +235,12 @@ def possible(words: list[np.ndarray], root: np.ndarray, home: np.ndarray, block:
                 yield i, j
 
 
-def bucket_links(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def bucket_links(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, then: Callable | None = None) -> DataFrame:
     """(u, v): links that connect what is alike in the neighbours' buckets and has two roots.
 
     Where a bucket is larger than a block it is cut into strata of length, which are never alike if they
     aren't neighbours: a text is at home in its stratum and a guest in the next. Each stratum's texts are
-    dealt into blocks by hash; two blocks meet in one group.
+    dealt into blocks by hash; two blocks meet in one group. ``then`` takes the links on within the worker.
     """
     members = near.select("bucket", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("m")).select("bucket", "m.*")
     rooted = members.distinct().join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -295,11 +295,11 @@ def bucket_links(near: DataFrame, texts: DataFrame, roots: DataFrame, similarity
             if r is not None:
                 rows.append(r)
 
-    return dealt.mapInArrow(meet, "u long, v long")
+    return dealt.mapInArrow((lambda batches: then(meet(batches))) if then else meet, "u long, v long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v): pairs (a, b) whose texts are alike. ``texts(id, h)`` holds word hashes as bytes."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, then: Callable | None = None) -> DataFrame:
+    """(u, v): pairs (a, b) whose texts are alike. ``texts(id, h)`` holds word hashes as bytes; ``then`` takes the pairs on within the worker."""
     hot = [hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side) for side in ("a", "b")]
     one = spread_join(pairs.select("a", "b"), texts.select(F.col("id").alias("a"), F.col("h").alias("x")), "a", hot[0])
     both = spread_join(one, texts.select(F.col("id").alias("b"), F.col("h").alias("y")), "b", hot[1])
@@ -308,7 +308,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
         read = lambda v: np.frombuffer(v, "<u4").tolist()
         return lambda a, b, x, y: ((a, b),) if alike(read(x), read(y), similarity) else ()
 
-    return map_rows(both.select("a", "b", "x", "y"), make, "u long, v long", flat=True)
+    return map_rows(both.select("a", "b", "x", "y"), make, "u long, v long", flat=True, then=then)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, list]:
@@ -342,10 +342,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "d
     chosen = nodes.select("id", F.col("cls").alias("_c"), F.col("least").alias("_k")).join(wanted, "id")
     one = source.join(chosen, (F.col("cls") == F.col("_c")) & F.col("key").eqNullSafe(F.col("_k")))
     texts = checkpointed(map_rows(one.select("id", "text"), word_hashes, "id long, h binary").groupBy("id").agg(F.first("h").alias("h")))
-    roots = components(verified(pairs, texts, similarity))
+    roots = components(verified(pairs, texts, similarity, then=forest), forests=True)
     # All other pairs of the buckets, where links haven't joined them yet.
-    more = bucket_links(near, texts, roots, similarity)
-    roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    more = bucket_links(near, texts, roots, similarity, then=forest)
+    roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), forests=True)
     named = nodes.select("id", "cls", "least").join(roots, F.col("id") == F.col("node"), "left")
     placed = checkpointed(named.select("cls", "least", F.coalesce("root", "id").alias("root")))
     sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull(), "least", "cls"))["cls"].alias("class_cls"))

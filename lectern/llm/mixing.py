@@ -131,10 +131,11 @@ def schedule(spark: SparkSession, sources: list[dict], block: int | None = None)
 def stream(sizes: DataFrame, sources: list[dict]) -> DataFrame:
     """Rows with ``at``, their first token's place in their source's shuffled stream, the words that the slots of their source hold and those that the settlement may move."""
     spark = sizes.sparkSession
-    head = "source_no int, source string, source_size long, n long, target double"
+    head = pa.schema([("source_no", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("n", pa.int64()), ("target", pa.float64()), ("scheduled", pa.int64())])
     block = block_words(sources)
     slots = slots_per_source(spark, sources, block)
-    table = spark.createDataFrame([(*(s[k.split()[0]] for k in head.split(", ")), block * n) for s, n in zip(sources, slots)], f"{head}, scheduled long")
+    # As an Arrow table: a list of rows would start Python workers of another kind on every executor.
+    table = spark.createDataFrame(pa.Table.from_pylist([s | {"scheduled": block * n} for s, n in zip(sources, slots)], head))
     rows = sizes.join(table.select("source_no", F.col("source").alias("_s"), "source_size", "n", "target", "scheduled"), F.col("source").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("h", F.xxhash64(F.lit("mix"), "key", "size"))
     rows = rows.withColumn("bucket", F.pmod("h", F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS))))

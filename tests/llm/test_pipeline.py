@@ -91,3 +91,44 @@ def test_stages_keep_columns_and_empty_tables(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def chained(plan: str) -> bool:
+    """Whether a Python step of a plan's tree reads another one with no exchange between them: two workers a task."""
+    above: list[tuple[int, str]] = []
+    for line in plan.splitlines():
+        if not (m := re.match(r"([\s:|+-]*)(?:\*\(\d+\) )?(\w+)", line)):
+            continue
+        above = [x for x in above if x[0] < len(m[1])]
+        below = [name for _, name in above]
+        last = max((i for i, name in enumerate(below) if name.endswith("Exchange")), default=-1)
+        if m[2] == "MapInArrow" and m[2] in below[last + 1 :]:
+            return True
+        above.append((len(m[1]), m[2]))
+    return False
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Executors keep every worker that any task had, so a second one a task counts in all later stages."""
+    from pyspark import SparkContext
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    twice = docs.limit(9).mapInArrow(lambda b: b, docs.schema).mapInArrow(lambda b: b, docs.schema)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert chained(plan(twice)) and not chained(plan(docs.mapInArrow(lambda b: b, docs.schema).repartition(3).mapInArrow(lambda b: b, docs.schema)))
+
+    plans, frame = [], type(docs)
+    written, listed = frame.checkpoint, SparkContext.parallelize
+    monkeypatch.setattr(frame, "checkpoint", lambda self, eager=True: plans.append(plan(self)) or written(self, eager))
+    rows = []  # lists that become tables go through Python workers of another kind, kept beside those of the steps
+    monkeypatch.setattr(SparkContext, "parallelize", lambda self, c, *n: rows.extend(c := list(c)) or listed(self, c, *n))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        plans.append(plan(out))
+        assert not [p for p in plans if chained(p)], name
+        assert not rows, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            docs = written(out, True)
+    assert sum("MapInArrow" in p for p in plans) > 5
